@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def dropped_shuffles(spark: SparkSession):
+    """While a table is written, Spark deletes the shuffle files of the query once it has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor costs a re-read, not a re-run.
 
@@ -48,7 +61,8 @@ class Scratch:
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        with dropped_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         self.drop(name)
         self.at[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
