@@ -55,7 +55,9 @@ class Powers:
 
     def upto(self, n: int) -> np.ndarray:
         if n > len(self.at):
-            self.at = np.cumprod(np.concatenate([[1], np.full(2 * n, _B, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            self.at = np.full(2 * n, _B, np.uint64)
+            self.at[0] = 1
+            self.at = np.cumprod(self.at, dtype=np.uint64)
         return self.at
 
 
