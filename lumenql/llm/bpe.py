@@ -240,8 +240,8 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", key: str = "doc
     return map_texts(tokens, [key, ids], make, f"{key} {tokens.schema[key].dataType.simpleString()}, text string")
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode those ids, in one pass over the texts."""
+def digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and token_ids if asked: encode, then decode those ids, in one pass."""
     spec = load_spec(docs.sparkSession, path)
 
     def make():
@@ -254,8 +254,8 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
                 "n_tokens": [len(x) // 4 for x in rows],
                 "ids_sha256": [hashlib.sha256(x).hexdigest() for x in rows],
                 "decoded_sha256": [hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in rows],
-            }
+            } | ({"token_ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in rows]} if with_ids else {})
 
         return step
 
-    return map_texts(docs, ["doc_id", "text"], make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, ["doc_id", "text"], make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)

@@ -17,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,14 +150,17 @@ def fit(train: DataFrame, alpha: float = 0.1, penalty: float = 3.0) -> MixtureMo
     return MixtureModel(names, log_p, penalty)
 
 
-def mixtures(docs: DataFrame, model: MixtureModel, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` (default doc_id), lang_pred, score, languages and shares of each row."""
-    carry = carry or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.log_p, model.penalty, model.most))
+def shared_model(docs: DataFrame, model: MixtureModel):
+    """Broadcast parts of a model: at most BUCKETS numbers a language."""
+    return docs.sparkSession.sparkContext.broadcast((model.names, model.log_p, model.penalty, model.most))
+
+
+def mixtures(docs: DataFrame, model: MixtureModel, carry: list[str]) -> DataFrame:
+    """``carry``, lang_pred, score, languages and shares of each row."""
+    shared = shared_model(docs, model)
 
     def make():
-        names, log_p, penalty, most = shared.value
-        m = MixtureModel(names, log_p, penalty, most)
+        m = MixtureModel(*shared.value)
 
         def step(*columns):
             found = [m.infer(t) for t in columns[-1]]
@@ -173,6 +177,21 @@ def mixtures(docs: DataFrame, model: MixtureModel, carry: list[str] | None = Non
     return map_texts(docs, [*carry, "text"], make, f"{kinds}, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
+def accepted(docs: DataFrame, model: MixtureModel, least_share: float) -> DataFrame:
+    """Rows whose largest share is ``least_share`` or more, all columns; a null lang becomes the inferred one."""
+    shared, text, lang = shared_model(docs, model), docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches):
+        m = MixtureModel(*shared.value)
+        for b in batches:
+            found = [(m.infer(t) or [(None, 0.0)])[0] for t in b.column(text).to_pylist()]
+            filled = pa.compute.coalesce(b.column(lang), pa.array([name for name, _ in found], b.schema.field(lang).type))
+            out = pa.RecordBatch.from_arrays([filled if i == lang else c for i, c in enumerate(b.columns)], schema=b.schema)
+            yield out.filter(pa.array([share > 0 and share >= least_share for _, share in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:
     """Learn from the rows that are not held out, then infer every row: doc_id, held_out, lang_pred, score, languages, shares."""
     model = fit(docs.where(~held_out))

@@ -110,8 +110,8 @@ def deleted_lines(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFram
     return gone
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of ``docs`` with ``text`` without later copies, and n_lines, n_deleted."""
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """The columns of ``docs`` with ``text`` without later copies, and two ``counts``: lines, and deleted lines."""
     scratch = Scratch(docs.sparkSession, "linededup")
     gone = deleted_lines(docs.select("doc_id", "text"), min_words, scratch)
     gone = gone.groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
@@ -121,7 +121,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
     shown = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return out.select(
-        *(shown.alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("n_deleted"),
+        *(shown.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias(counts[1]),
     )

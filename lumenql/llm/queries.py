@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, linededup, quality, repetition, toxicity, wordpiece
+from . import bpe, decontaminate, jaccard, langid, linededup, lmscore, quality, repetition, toxicity, wordpiece
 from .common import fold, table
 
 
@@ -57,6 +57,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), labels, fold(F.col("doc_id"), 3) == 1)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_language_id, op3_token_counts, op4_line_dedup, op5_toxicity, op7_repetition, op8_decontamination, op9_jaccard_join, op10_quality)
+    f.__name__: f for f in (op1_bpe, op2_language_id, op3_token_counts, op4_line_dedup, op5_toxicity, op6_lm_scoring, op7_repetition, op8_decontamination, op9_jaccard_join, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op9_jaccard_join": JACCARD_SQL}
