@@ -1,19 +1,55 @@
-"""All relational queries by name, with the DuckDB SQL of the same result."""
+"""All relational queries by name, with the DuckDB SQL of the same result.
+
+A query is a statement of the dialect, rewritten and planned as the engine does it, or a function
+over DataFrames where the engine's Python interface is the point.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..dialect import rewrite
+from ..functions import register
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+_READY: set[int] = set()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ready(spark: SparkSession) -> None:
+    """Register the dialect's functions, once a session."""
+    if id(spark) not in _READY:
+        register(spark)
+        _READY.add(id(spark))
+
+
+def statement(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """One SELECT of the dialect over the tables of a folder."""
+    ready(spark)
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", sql):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(rewrite(sql, variables={"version": "'8.0.0-lumenql'"}))
+
+
+def sql(name: str, text: str, oracle: str | None = None, same: bool = True) -> None:
+    """Register a statement; its oracle is the text itself, another text, or none."""
+    QUERIES[name] = lambda spark, sf_dir: statement(spark, sf_dir, text)
+    if oracle or same:
+        ORACLE_SQL[name] = oracle or text
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
+    """Register a function under its name."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -24,27 +60,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc,
-       min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price, CAST(count(*) AS BIGINT) AS count_order
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY 1, 2"""
-)
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shipped = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return (
-        shipped.groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-            F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
-            F.round(F.avg("l_discount"), 6).alias("avg_disc"),
-            F.min("l_extendedprice").alias("min_price"),
-            F.max("l_extendedprice").alias("max_price"),
-            F.count(F.lit(1)).alias("count_order"),
-        )
-        .orderBy("l_returnflag", "l_linestatus")
-    )
+from . import engine, fulltext, relational, scalar  # noqa: E402, F401 - they register their queries
