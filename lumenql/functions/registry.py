@@ -114,6 +114,10 @@ BUILTIN_NAMES = "UPPER LOWER LEFT RIGHT REVERSE REPEAT CONCAT_WS POWER POW LOG10
 
 
 def register(spark: SparkSession) -> None:
-    """Create the temporary functions in a session; doing so again is harmless."""
+    """Create the temporary functions in a session; doing so again is harmless.
+
+    Variable substitution is switched off, since it would rewrite string literals that hold ``${``.
+    """
+    spark.conf.set("spark.sql.variable.substitute", "false")
     for name, (parameters, result, body) in ALL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")

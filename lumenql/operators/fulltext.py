@@ -108,10 +108,10 @@ def build(rows: DataFrame, key: str, text: str, config: FtsConfig, path: str) ->
     found.groupBy(key).agg(F.count_distinct("term").alias("n_terms")).write.parquet(f"{path}/rows")
 
 
-def load(spark: SparkSession, paths: list[str], terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Postings (of the buckets of ``terms``) and row statistics of index segments."""
-    found = [spark.read.parquet(f"{p}/postings") for p in paths]
-    stats = [spark.read.parquet(f"{p}/rows") for p in paths]
+def load(spark: SparkSession, paths: list[str], key: str, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (of the buckets of ``terms``) and row statistics of index segments; key is the row key's name and type."""
+    found = [spark.read.schema(f"{key}, term string, level int, weight double, pos int, bucket int").parquet(f"{p}/postings") for p in paths]
+    stats = [spark.read.schema(f"{key}, n_terms long").parquet(f"{p}/rows") for p in paths]
     out, rows = found[0], stats[0]
     for p, r in zip(found[1:], stats[1:], strict=True):
         out, rows = out.unionByName(p), rows.unionByName(r)

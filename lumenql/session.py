@@ -15,6 +15,7 @@ from .ddl import column as parse_column
 from .dialect import DialectError, Rewriter, Token, name_of, quote_name, quote_string, split_statements, string_value
 from .functions import register
 from .operators import fulltext as fts
+from .sources import folders
 from .store import ORDER, ROWID, Catalog, Column, Table, numbered
 
 SCRIPTS = "xxscript"
@@ -50,6 +51,8 @@ class Engine:
         self.spark, self.root, self.enforce = spark, root.rstrip("/"), enforce
         self.variables = dict(VARIABLES)
         register(spark)
+        folders.register(spark)
+        self.host = folders.host_functions(spark)
         self.use(database)
 
     # -- databases and views -------------------------------------------------------------------
@@ -127,9 +130,16 @@ class Engine:
 
     def query(self, tokens: list[Token], views: dict[str, str] | None = None) -> DataFrame:
         """A SELECT; analysed at once, so that errors in it show here."""
+        words = [t.upper for t in tokens]
+        if "OUTFILE" in words and words[words.index("OUTFILE") - 1] == "INTO":
+            cut = words.index("OUTFILE")
+            rows = self.query(tokens[: cut - 1] + tokens[cut + 2 :])
+            path = string_value(tokens[cut + 1])
+            rows.write.option("header", True).csv(path) if path.endswith(".csv") else rows.write.parquet(path)
+            return rows
         tokens = self._schema_views(tokens)
         hits: list[str] = []
-        text = Rewriter(self._matcher(tokens, hits), self.variables).rewrite(tokens)
+        text = Rewriter(self._matcher(tokens, hits), self.variables, self.host).rewrite(tokens)
         out = self.spark.sql(text)
         out.schema  # noqa: B018
         return out.drop(ROWID) if hits and ROWID in out.columns else out
@@ -166,6 +176,19 @@ class Engine:
                 i += 1
         return out
 
+    # -- files ---------------------------------------------------------------------------------
+
+    def save_file(self, path: str, content: bytes | str) -> int:
+        """Write one file; a method, since a task that is tried again would write twice."""
+        self.catalog.files.write(path, content.encode() if isinstance(content, str) else content)
+        return 1
+
+    def load_folder(self, path: str) -> bytes | None:
+        return folders.load_folder(self.catalog.files, path)
+
+    def export_folder(self, data: bytes, path: str) -> int:
+        return folders.export_folder(self.catalog.files, data, path)
+
     # -- INSERT, UPDATE, DELETE ----------------------------------------------------------------
 
     def _do_insert(self, c: Cursor) -> ExecResult:
@@ -203,7 +226,7 @@ class Engine:
 
     def _values(self, t: Table, columns: list[str], rows: list[list[list[Token]]]) -> DataFrame:
         """Literal rows as an inline table, others as a union of one-row queries."""
-        rewriter = Rewriter(None, self.variables)
+        rewriter = Rewriter(None, self.variables, self.host)
 
         def cell(name: str, tokens: list[Token]) -> str:
             if len(tokens) == 1 and tokens[0].upper == "DEFAULT":
@@ -345,7 +368,7 @@ class Engine:
             while not c.done and (depth or c.peek().upper not in ("WHERE", "LIMIT") and c.peek().text != ","):
                 depth += (c.peek().text == "(") - (c.peek().text == ")") if c.peek().kind == "op" else 0
                 value.append(c.next())
-            text = self._default(column) if len(value) == 1 and value[0].upper == "DEFAULT" else Rewriter(None, self.variables).rewrite(value)
+            text = self._default(column) if len(value) == 1 and value[0].upper == "DEFAULT" else Rewriter(None, self.variables, self.host).rewrite(value)
             changes[column.name] = f"cast({text} AS BINARY)" if column.spark == "binary" else f"try_cast({text} AS {column.spark})"
             if not c.take(","):
                 break
@@ -429,7 +452,7 @@ class Engine:
                 index["segments"].append(segment)
 
     def _index_parts(self, index: dict, terms: list[str] | None) -> tuple[DataFrame, DataFrame]:
-        parts = fts.load(self.spark, [f"{self.catalog.root}/{s}" for s in index["segments"]], terms)
+        parts = fts.load(self.spark, [f"{self.catalog.root}/{s}" for s in index["segments"]], f"key struct<{ROWID}:bigint,__file:string>", terms)
         dead = [f.rsplit("/", 1)[-1] for f in index["dead"]]
         out = []
         for df in parts:
