@@ -81,10 +81,11 @@ def select_terms(docs: list[np.ndarray], y: np.ndarray, most: int, least_df: int
     return at
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, terms: int = TERMS, rank: int = RANK, epochs: int = 12, rate: float = 0.1, l2: float = 2e-5, seed: int = 7) -> FactorizationMachine:
+def train(docs: list[np.ndarray], y: np.ndarray, terms: int = TERMS, rank: int = RANK, epochs: int | None = None, rate: float = 0.1, l2: float = 2e-5, seed: int = 7) -> FactorizationMachine:
     """Logistic loss by AdaGrad in mini-batches; all randomness comes from ``seed``."""
     if not len(docs) or y.min() == y.max():
         return FactorizationMachine(np.zeros(1 << BITS, np.int32), -30.0, np.zeros(1, np.float32), np.zeros((1, rank), np.float32))
+    epochs = epochs or max(12, min(80, 240_000 // len(docs)))  # small samples need as many steps as large ones
     at = select_terms(docs, y, terms)
     rows = [r[r > 0] for r in (at[d] for d in docs)]
     rng, size = np.random.default_rng(seed), int(at.max()) + 1
