@@ -11,10 +11,12 @@ the last gap. The split of the budget H + 1 between whole segments and one-delet
 band by cost: s minimises the expected number of signatures.
 
 Equal sets are one class first, by 128-bit set hashes, however many copies there are. Signatures
-are sorted within hash partitions and read as a stream; the members of a bucket are linked to its
-first only. Candidates are verified on the whole sets. What the links leave apart though it shares
-a bucket is compared across components: star-wise while that merges anything, then every pair that
-is still in different components. So no pair inside a component is ever built, and none is missed.
+are sorted within hash partitions and read as a stream; only shared ones go on. The members of a
+bucket are compared with the one of the highest standing (the size of all its buckets), which in a
+group of edited copies is the original, for a few rounds of components. Then every pair of a bucket
+that is still in different components is compared, behind a filter inside the join: sizes, and
+1,024-bit parity sketches that bound the difference of two sets from below. Candidates are verified
+on the whole sets. So no pair inside a component is ever built, and none is missed.
 
 Defined results: the empty set (null, empty or blank text) links with nothing. Null ids are never
 a component's name; a null-id row that links with no other has a null component. Repeated rows are
@@ -24,11 +26,12 @@ copies like any other. Fewer words than a shingle has make one shingle of the wh
 from __future__ import annotations
 
 import math
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_texts
@@ -38,6 +41,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(3).integers(0, 1 << 64, 256, dtype=np.uint64)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _STAR_ROUNDS = 3
+SKETCH = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -176,7 +180,7 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """sig, cid, lead for the signatures that two classes or more have; lead is the bucket's first class."""
+    """sig, cid for the signatures that two classes or more have."""
 
     def make():
         bands, done = Bands(percent), set()
@@ -203,27 +207,20 @@ def buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def runs(batches):
         held = np.zeros((2, 0), np.int64)
-        lead: tuple[int, int] | None = None  # signature and first class of the run that the last batch ended in, once shown
+        shared: int | None = None  # signature of the run that the last batch ended in, if its classes were shown
 
         def shown(rows: np.ndarray, final: bool):
-            nonlocal lead
+            nonlocal shared
             sig, cid = rows
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1])])
             sig, cid = sig[new], cid[new]
             opens = np.concatenate([[True], sig[1:] != sig[:-1]])
             first = np.maximum.accumulate(np.where(opens, np.arange(len(sig)), 0))
-            leads = cid[first]
-            known = np.zeros(len(sig), bool)
-            if lead is not None:
-                known = sig == lead[0]
-                leads = np.where(known, lead[1], leads)
             size = np.bincount(first, minlength=len(sig))[first]
-            out = (size > 1) | known
-            last = sig == sig[-1]
-            back = last & ~out if not final else np.zeros(len(sig), bool)  # a lone last row may have company in the next batch
-            if not final:
-                lead = (int(sig[-1]), int(leads[-1])) if out[-1] else None
-            return pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(cid[out]), pa.array(leads[out])], ["sig", "cid", "lead"]), np.stack([sig[back], cid[back]])
+            out = (size > 1) | (sig == shared if shared is not None else False)
+            back = (sig == sig[-1]) & ~out if not final else np.zeros(len(sig), bool)  # a lone last row may have company in the next batch
+            shared = int(sig[-1]) if out[-1] else None
+            return pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(cid[out])], ["sig", "cid"]), np.stack([sig[back], cid[back]])
 
         for b in batches:
             rows = np.concatenate([held, np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])], axis=1)
@@ -233,11 +230,14 @@ def buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if held.shape[1]:
             yield shown(held, True)[0]
 
-    return signed.repartition(n, "sig").sortWithinPartitions("sig", "cid").mapInArrow(runs, "sig long, cid long, lead long")
+    return signed.repartition(n, "sig").sortWithinPartitions("sig", "cid").mapInArrow(runs, "sig long, cid long")
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 25) -> DataFrame:
-    """cid, tokens for the classes in ``wanted``.
+    """cid, tokens, sketch for the classes in ``wanted``.
+
+    A sketch holds the parities of the token counts in SKETCH hash buckets: two sketches differ in
+    no more bits than the sets differ in tokens.
 
     A bitmap of 2**bits bits (4 MB, whatever the corpus) spares most texts the way through the
     exchange; the join behind it is exact.
@@ -253,7 +253,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 25)
         done: set[int] = set()
 
         def step(texts):
-            cids, sets = [], []
+            cids, sets, marks = [], [], []
             for t in texts:
                 x = shingles(t, width)
                 cid = class_key(x)
@@ -264,20 +264,41 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 25)
                     done.add(cid)
                     cids.append(cid)
                     sets.append(x.view(np.int64))
-            return {"cid": cids, "tokens": sets}
+                    odd = np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+                    marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            return {"cid": cids, "tokens": sets, "sketch": marks}
 
         return step
 
-    found = map_texts(docs, ["text"], make, "cid long, tokens array<long>").join(wanted, "cid", "left_semi")
-    return found.groupBy("cid").agg(F.first("tokens").alias("tokens"))
+    found = map_texts(docs, ["text"], make, "cid long, tokens array<long>, sketch array<long>").join(wanted, "cid", "left_semi")
+    return found.dropDuplicates(["cid"])
+
+
+def may_link(n: tuple[Column, Column], sketch: tuple[Column, Column], percent: int) -> Column:
+    """What sizes and sketches allow; false only for pairs that cannot link."""
+    apart = reduce(add, (F.bit_count(sketch[0][i].bitwiseXOR(sketch[1][i])) for i in range(SKETCH // 64)))
+    near = F.least(*n) * 100 >= F.greatest(*n) * percent
+    return near & (apart * (100 + percent) <= (n[0] + n[1]) * (100 - percent))
+
+
+def outlines(sets: DataFrame) -> DataFrame:
+    """cid, n, sketch: what is known of a set without its tokens."""
+    return sets.select("cid", F.size("tokens").alias("n"), "sketch")
+
+
+def promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow."""
+    left = outlines(sets).toDF("a", "n_a", "sketch_a")
+    right = outlines(sets).toDF("b", "n_b", "sketch_b")
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.where(may_link((F.col("n_a"), F.col("n_b")), (F.col("sketch_a"), F.col("sketch_b")), percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     left, right = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
-    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     common = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(right, "b").join(left, "a").where(small * 100 >= large * percent)
+    joined = pairs.join(right, "b").join(left, "a")
     return joined.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
@@ -304,32 +325,34 @@ def linked(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataF
     if found.isEmpty():
         return None
     slim = found.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("who"))
-    slim = slim.groupBy("n", "who").agg(F.min("sig").alias("sig")).select("sig")  # buckets of the same members say the same
-    members = scratch.keep("members", found.join(slim, "sig", "left_semi"))
+    slim = slim.groupBy("n", "who").agg(F.min("sig").alias("sig")).select("sig", "n")  # buckets of the same members say the same
+    members = scratch.keep("plain", found.join(slim, "sig"))
     scratch.drop("buckets")
-    sets = scratch.keep("sets", wanted_sets(docs, members.select("cid").distinct(), width))
-    pairs = scratch.keep("tried", members.where("cid <> lead").groupBy("cid").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("cid").alias("b")))
-    edges = scratch.keep("edges", verified(pairs, sets, percent))
-    tried = pairs
-    labels = components(edges, scratch, "round")
+    standing = members.groupBy("cid").agg(F.sum("n").alias("standing"))  # an original shares more with its edited copies than they do with each other
+    sets = scratch.keep("sets", wanted_sets(docs, standing.select("cid"), width))
+    members = scratch.keep("members", members.join(standing, "cid").select("sig", "cid", "standing"))
+    scratch.drop("plain")
+    labels, edges, tried = None, None, None
     for k in range(_STAR_ROUNDS + 1):
-        marked = members.select("sig", "cid").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        mixed = marked.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        marked = scratch.keep("marked", marked.join(mixed, "sig").select("sig", "cid", "comp", "low"))
-        if k < _STAR_ROUNDS:  # the other members against the first member of the bucket's least component
-            heads = marked.where("comp = low").groupBy("sig").agg(F.min("cid").alias("a"))
-            pairs = marked.where("comp > low").join(heads, "sig").select("a", F.col("cid").alias("b"))
-        else:  # all that is still apart
-            other = marked.select("sig", F.col("cid").alias("b"), F.col("comp").alias("theirs"))
-            pairs = marked.join(other, "sig").where("comp < theirs").select(F.col("cid").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = scratch.keep("fresh", pairs.join(tried, ["a", "b"], "left_anti"))
+        marked = members.withColumn("comp", F.col("cid")) if labels is None else members.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        mixed = marked.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("cid", "standing").alias("head"), F.max_by("comp", "standing").alias("main")).where("low < high")
+        if k < _STAR_ROUNDS:  # all members against the bucket's member of the highest standing
+            rest = marked.join(mixed.select("sig", "head", "main"), "sig").where("comp <> main")
+            pairs = rest.select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
+        else:  # all that is still apart and that sizes and sketches allow
+            apart = marked.join(mixed.select("sig"), "sig").join(outlines(sets), "cid").select("sig", "cid", "comp", "n", "sketch")
+            apart = scratch.keep("apart", apart)
+            one, other = apart.toDF("sig", "a", "comp_a", "n_a", "sketch_a"), apart.toDF("sig", "b", "comp_b", "n_b", "sketch_b")
+            pairs = one.join(other, (one["sig"] == other["sig"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & may_link((F.col("n_a"), F.col("n_b")), (F.col("sketch_a"), F.col("sketch_b")), percent)).select("a", "b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        fresh = scratch.keep("fresh", pairs if k == _STAR_ROUNDS else promising(pairs, sets, percent))
         new = scratch.keep("new", verified(fresh, sets, percent))
-        tried = scratch.keep("tried", tried.union(fresh))
+        tried = scratch.keep("tried", fresh if tried is None else tried.union(fresh))
         if not new.isEmpty():
-            edges = scratch.keep("edges", edges.union(new))
+            edges = scratch.keep("edges", new if edges is None else edges.union(new))
             labels = components(edges, scratch, "round")
-    scratch.drop("members", "sets", "tried", "marked", "fresh", "new", "edges")
+    scratch.drop("members", "sets", "tried", "apart", "fresh", "new", "edges")
     return labels
 
 
