@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[2]")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
