@@ -114,3 +114,21 @@ def map_texts(df: DataFrame, columns: list[str], make: Callable[[], Callable[...
 def bounded_sample(labelled: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` rows, the ones whose id hashes lowest: the same rows for any partitioning."""
     return labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def hash_bits(hashes: DataFrame, bits: int) -> DataFrame:
+    """One row: which of the 64-bit values of the only column ``h`` occur, as a bitmap of 2**bits bits by their upper bits.
+
+    Its size is fixed whatever the corpus; at most it lets through more than it should.
+    """
+    word = F.shiftrightunsigned("h", 64 - bits + 6).alias("word")
+    bit = F.shiftrightunsigned("h", 64 - bits).bitwiseAND(F.lit(63)).cast("int").alias("bit")
+    found = hashes.select(word, bit).distinct().groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    every = hashes.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("word")).join(found, "word", "left")
+    return every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("x")).select(F.col("x.bits").alias("bits"))
+
+
+def may_occur(h: Column, bitmap: DataFrame, bits: int) -> Column:
+    """Whether the bitmap of ``hash_bits`` has a hash; never null."""
+    word = F.get(bitmap.scalar(), F.shiftrightunsigned(h, 64 - bits + 6).cast("int"))
+    return F.coalesce(F.getbit(word, F.shiftrightunsigned(h, 64 - bits).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, hash_bits, may_occur
 
 MIN_WORDS = 50
 BITS = 23
@@ -111,30 +111,21 @@ def deleted_lines(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFram
     return gone
 
 
-def touched_bits(gone: DataFrame) -> DataFrame:
-    """One row: the hashes of the texts that lose lines, as a bitmap of 2**BITS bits (1 MB, whatever the corpus)."""
-    word = F.shiftrightunsigned("h", 64 - BITS + 6).alias("word")
-    bit = F.shiftrightunsigned("h", 64 - BITS).bitwiseAND(F.lit(63)).cast("int").alias("bit")
-    found = gone.select(word, bit).distinct().groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    every = gone.sparkSession.range(1 << (BITS - 6)).select(F.col("id").alias("word")).join(found, "word", "left")
-    return every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("x")).select(F.col("x.bits").alias("bits"))
-
-
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
     """The columns of ``docs`` with ``text`` without later copies, and two ``counts``: lines, and deleted lines.
 
     Only texts that may lose lines, by a fixed-size bitmap of their hashes, go through the last
-    join's exchange; the join behind the bitmap is exact. All others pass as they are read.
+    join's exchange; the join behind the bitmap is exact. All others pass as they are read. The
+    deletions grow with the corpus, so they are merged, never broadcast, at any size.
     """
     scratch = Scratch(docs.sparkSession, "linededup")
     gone = deleted_lines(docs.select("doc_id", "text"), min_words, scratch)
-    bits = scratch.keep("bits", touched_bits(gone))
+    bits = scratch.keep("bits", hash_bits(gone.select("h"), BITS))
     gone = gone.groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
     lines = F.split("text", "\n", -1)
     keyed = docs.withColumn("__key", F.xxhash64("text"))
-    word = F.get(bits.scalar(), F.shiftrightunsigned("__key", 64 - BITS + 6).cast("int"))
-    may = F.getbit(word, F.shiftrightunsigned("__key", 64 - BITS).bitwiseAND(F.lit(63)).cast("int")) == 1
-    joined = keyed.where(may).join(gone, (F.col("__key") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    may = may_occur(F.col("__key"), bits, BITS)
+    joined = keyed.where(may).join(gone.hint("merge"), (F.col("__key") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
     shown = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias(counts[0])

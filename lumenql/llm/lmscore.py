@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts
+from .common import Scratch, dropped_shuffles, hash_bits, map_texts, may_occur
 
 RARE = 2e-6
 RARE_PAIR = 4e-7
 ALPHA = 0.5
 MASS = 20.0
+BITS = 23
 _WORD = re.compile(r"\w+")
 
 
@@ -138,7 +139,8 @@ def fit(flagged: DataFrame, rare: float = RARE, rare_pair: float = RARE_PAIR, al
         hashes = WordHashes()
         return lambda texts, flags: counted([pair_keys(ids_of(hashes(x), shared.value), len(shared.value) + 1) for x in texts], flags, np.int64)
 
-    both = totals(flagged, pairs).where(F.col("n") >= rare_pair * n).toArrow()  # at most 1 / rare_pair rows
+    with dropped_shuffles(spark):
+        both = totals(flagged, pairs).where(F.col("n") >= rare_pair * n).toArrow()  # at most 1 / rare_pair rows
     scratch.drop("words")
     pair_counts = np.stack([both["n"].to_numpy(), both["t"].to_numpy()], axis=1)
     return PairModels.build(vocab, counts, n, t, (both["k"].to_numpy(), pair_counts), alpha, mass)
@@ -161,7 +163,16 @@ def score(docs: DataFrame, models: PairModels) -> DataFrame:
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, **settings) -> DataFrame:
-    """Score every row of ``docs``; the target are the rows whose doc_id is in ``target_ids``."""
-    chosen = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    """Score every row of ``docs``; the target are the rows whose doc_id is in ``target_ids``.
+
+    Only texts that may be of the target, by a fixed-size bitmap, meet the ids in a join, which is
+    exact. The ids grow with the corpus, so they are merged, never broadcast, at any size.
+    """
+    chosen = target_ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).where("doc_id is not null").distinct()
+    scratch = Scratch(docs.sparkSession, "lmtarget")
+    bits = scratch.keep("bits", hash_bits(chosen.select(F.xxhash64("doc_id").alias("h")), BITS))
+    may = may_occur(F.xxhash64("doc_id"), bits, BITS) & F.col("doc_id").isNotNull()
+    texts = docs.select("doc_id", "text")
+    marked = texts.where(may).join(chosen.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
+    flagged = texts.where(~may).select("text", F.lit(False).alias("target")).union(marked.select("text", F.coalesce("target", F.lit(False))))
     return score(docs, fit(flagged, **settings))
