@@ -270,7 +270,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 25)
 
         return step
 
-    found = map_texts(docs, ["text"], make, "cid long, tokens array<long>, sketch array<long>").join(wanted, "cid", "left_semi")
+    found = map_texts(docs, ["text"], make, "cid long, tokens array<long>, sketch array<long>").join(wanted.hint("merge"), "cid", "left_semi")
     return found.dropDuplicates(["cid"])
 
 
@@ -295,10 +295,10 @@ def promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) whose whole sets link. Sets and pairs grow with the corpus: merged, never broadcast, at any size."""
     left, right = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(right, "b").join(left, "a")
+    joined = pairs.hint("merge").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     return joined.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
