@@ -17,6 +17,7 @@ from lumenql.llm.common import Scratch, table
 from lumenql.llm.queries import tokenizer
 
 LEAST_SHARE = 0.4  # a document goes if no language has this share of it
+SHINGLE, SIMILAR = 5, 80  # words of a shingle, and per cent of Jaccard similarity from which documents are near copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,9 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each component of the Jaccard join."""
+    """One document, the smallest id, of each component of the Jaccard join over shingles of five words, at 0.8 or more."""
     scratch = Scratch(spark, "nearduplicates")
-    found = scratch.keep("found", jaccard.jaccard_components(docs.select("doc_id", "text")))
+    found = scratch.keep("found", jaccard.jaccard_components(docs.select("doc_id", "text"), SHINGLE, SIMILAR))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     twice = scratch.keep("twice", found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))

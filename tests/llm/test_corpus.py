@@ -181,6 +181,22 @@ def test_pipeline_stages(spark, awkward, empty):
     assert lines[8]["text"] == "more" and lines[8]["n_chars"] == 4
 
 
+def test_near_duplicates_brute_force(spark):
+    """The stage keeps the smallest id of each component at five words and 0.8, where four words and 0.85 would keep more."""
+    rng, rows = np.random.default_rng(8), []
+    for n in [1, 4, 6, 20, 49, 50, 51, 60, 100, 102, 104, 150]:
+        base = [f"v{x}" for x in rng.integers(0, 400, n)]
+        for edits in range(5):
+            w = list(base)
+            for at in rng.integers(0, n, edits):
+                w[at] = f"e{rng.integers(0, 99)}"
+            rows.append((len(rows), " ".join(w)))
+    want = {name for _, name in plain_components(rows, 5, 80).values()}
+    assert len(want) < len({name for _, name in plain_components(rows, 4, 85).values()})
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and len({r["doc_id"] for r in rows}) == len(rows) and all(len(r["token_ids"]) == r["n_tokens"] for r in rows)
