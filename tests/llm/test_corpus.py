@@ -165,6 +165,51 @@ def test_model_scores_tell_targets(spark, awkward, empty):
     assert lmscore.cross_entropy_difference(empty, empty.select("doc_id")).count() == 0
 
 
+def test_chunks_come_in_parts():
+    """A part begins where the chunk or the row of places breaks off."""
+    import pyarrow as pa
+
+    rows = [(7, 0), (7, 1), (8, 3), (8, 4), (8, 0), (9, 0)]
+    batch = pa.RecordBatch.from_pydict({"chunk": [c for c, _ in rows], "place": [p for _, p in rows], "tokens": [b""] * 6, "target": [True] * 6})
+    assert [(c, p, len(t)) for c, p, t, _ in lmscore.parts([batch.slice(0, 1), batch.slice(1)])] == [(7, 0, 2), (8, 3, 2), (8, 0, 1), (9, 0, 1)]
+
+
+def plain_differences(rows, alpha=0.5, mass=20.0):
+    """Whole bigram models, no word or bigram left out."""
+    models = []
+    for chosen in ([t for _, t, _ in rows], [t for _, t, f in rows if f]):
+        texts = [re.findall(r"\w+", t.lower()) for t in chosen if t]
+        models.append((Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip([None, *t], t)), Counter(c for t in texts for c in [None, *t][: len(t)])))
+    words = len(models[0][0])
+    out = {}
+    for d, t, _ in rows:
+        w = re.findall(r"\w+", t.lower()) if t else []
+        losses = []
+        for uni, pair, context in models:
+            n = sum(uni.values())
+            losses.append(sum(math.log(context[a] + mass) - math.log(pair[a, b] + mass * (uni[b] + alpha) / (n + alpha * (words + 1))) for a, b in zip([None, *w], w)) / max(1, len(w)))
+        out[d] = (len(w), losses[1], losses[0])
+    return out
+
+
+@pytest.mark.parametrize("settings", [{}, {"chunk": 60, "bucket": 100}])
+def test_model_keeps_rare_words_in_large_corpora(spark, settings):
+    """Two sightings count the same however many other tokens there are, in one chunk and in many."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, 40) % 300), i % 3 == 0) for i in range(40)]
+    rows += [(40, "rare pearl of w1 w2", True), (41, "rare pearl in w3", False), (42, None, True), (43, "", False)]
+    if not settings:
+        rows.append((44, "a b c d e f " * 300_000, False))
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    target = spark.createDataFrame([(d,) for d, _, f in rows if f], "doc_id long")
+    got = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs, target, **settings).collect()}
+    want = plain_differences(rows)
+    assert got.keys() == want.keys()
+    for d, (n, t, b) in want.items():
+        assert got[d]["n_tokens"] == n
+        assert [got[d]["target_loss"], got[d]["background_loss"], got[d]["difference"]] == pytest.approx([t, b, t - b], rel=1e-6, abs=1e-9)
+
+
 def test_pipeline_stages(spark, awkward, empty):
     docs = table(spark, SF, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "near_duplicates", "decontamination", "tokens"]
