@@ -2,9 +2,10 @@
 
 Each language is a smoothed distribution over hashed letter bigrams and trigrams. A document is taken as a
 mixture: expectation-maximisation estimates the share of every language from the n-gram
-likelihoods, and the set of languages is the one with the best penalised likelihood (k - 1 free
-shares cost ``penalty`` times the logarithm of the n-gram count each). The largest share names the
-document's language and is its score.
+likelihoods. Sets of languages are compared by penalised likelihood (k - 1 free shares cost
+``penalty`` times the logarithm of the n-gram count each): all languages, then one less each time,
+the one of the smallest share, and every language alone. The largest share in the best of these
+names the document's language and is its score.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and no shares;
 equal shares go to the name that sorts first; with nothing to learn from, every document is ``und``.
@@ -69,8 +70,8 @@ def grams(text: str | None) -> np.ndarray:
 class MixtureModel:
     """log_p: a row of log probabilities for each of ``names``."""
 
-    def __init__(self, names: list[str], log_p: np.ndarray, penalty: float = 3.0, most: int = 3):
-        self.names, self.log_p, self.penalty, self.most = names, log_p, penalty, most
+    def __init__(self, names: list[str], log_p: np.ndarray, penalty: float = 3.0):
+        self.names, self.log_p, self.penalty = names, log_p, penalty
         scaled = log_p.T - log_p.T.max(axis=1, keepdims=True, initial=-np.inf) if len(names) else log_p.T
         self.log_ratio = np.ascontiguousarray(scaled, dtype=np.float32)
         self.ratio = np.exp(self.log_ratio)
@@ -94,18 +95,16 @@ class MixtureModel:
         seen = np.flatnonzero(counts != 0)
         weight = counts[seen].astype(np.float32)
         p = self.ratio[seen]
-        share, _ = self.em(p, weight)
-        order = np.argsort(-share, kind="stable")[: self.most]
-        alone = (weight @ self.log_ratio[seen])[order]
+        alone = weight @ self.log_ratio[seen]
         first = int(np.argmax(alone))
-        order = np.concatenate([order[first : first + 1], np.delete(order, first)])
-        best, best_share, chosen = float(alone[first]), np.ones(1), order[:1]
+        best, best_share, chosen = float(alone[first]), np.ones(1), np.array([first])
         cost = self.penalty * math.log(len(ids) + 1)
-        for k in range(2, len(order) + 1):
-            trial, fit = self.em(p[:, order[:k]], weight)
-            if fit - cost * (k - 1) <= best:
-                break
-            best, best_share, chosen = fit - cost * (k - 1), trial, order[:k]
+        left = np.arange(len(self.names))
+        while len(left) > 1:
+            trial, fit = self.em(p[:, left], weight)
+            if fit - cost * (len(left) - 1) > best:
+                best, best_share, chosen = fit - cost * (len(left) - 1), trial, left
+            left = np.delete(left, len(left) - 1 - int(np.argmin(trial[::-1])))
         pairs = [(self.names[i], min(1.0, float(s))) for i, s in zip(chosen.tolist(), best_share.tolist(), strict=True)]
         return sorted(pairs, key=lambda x: (-x[1], x[0]))
 
@@ -152,7 +151,7 @@ def fit(train: DataFrame, alpha: float = 0.1, penalty: float = 3.0) -> MixtureMo
 
 def shared_model(docs: DataFrame, model: MixtureModel):
     """Broadcast parts of a model: at most BUCKETS numbers a language."""
-    return docs.sparkSession.sparkContext.broadcast((model.names, model.log_p, model.penalty, model.most))
+    return docs.sparkSession.sparkContext.broadcast((model.names, model.log_p, model.penalty))
 
 
 def mixtures(docs: DataFrame, model: MixtureModel, carry: list[str]) -> DataFrame:

@@ -73,6 +73,19 @@ def test_language_awkward(spark, awkward, empty):
     assert {r["lang_pred"] for r in langid.identify(awkward.withColumn("lang", F.lit(None).cast("string")), F.lit(False)).collect()} == {"und"}
 
 
+def test_language_of_many_parts():
+    """All five languages of a text are found, and only those; one alone stays alone."""
+    rng = np.random.default_rng(2)
+    alphabets = {n: "abcdefghijklmnopqrstuvwxyz"[3 * i : 3 * i + 3] for i, n in enumerate(["one", "two", "three", "four", "five", "six"])}
+    text = {n: " ".join("".join(rng.choice(list(x), 5)) for _ in range(80)) for n, x in alphabets.items()}
+    counts = np.stack([np.bincount(langid.grams(t), minlength=langid.BUCKETS) for t in text.values()]) + 0.1
+    model = langid.MixtureModel(list(text), np.log(counts / counts.sum(axis=1, keepdims=True)))
+    for n in (1, 2, 4, 5):
+        some = list(text)[:n]
+        found = dict(model.infer(" ".join(text[k] for k in some)))
+        assert set(found) == set(some) and all(abs(v - 1 / n) < 0.05 for v in found.values())
+
+
 def test_word_pieces_against_greedy():
     automaton = wordpiece.Automaton(["a", "ab", "abc", "x"], ["b", "c", "bc", "cd", "d", "ab"])
 
