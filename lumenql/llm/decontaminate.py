@@ -2,15 +2,16 @@
 
 Texts and test items are sequences of lower-case words. A seed mask picks six of up to eleven
 neighbouring words and ignores the others, so it still hits where ignored words were substituted.
-The masks are chosen once, by rule, so that any two substitutions within WINDOW words leave a hit.
+The masks are chosen once, by rule, so that any two substitutions within WINDOW words leave a hit,
+and so does any one substitution in a whole item of LEAST words or more but fewer than WINDOW.
 Every position of every document is hashed under every mask and joined with the hashes of the
 items; each hit is then verified on its diagonal: a document contains an item if some WINDOW
 neighbouring words (or the whole item, if shorter) match it word for word, in place, but for
-``MISSES`` in WINDOW. The items of a block (bounded by ``block`` rows) are broadcast; larger
+``MISSES`` in WINDOW. Items of fewer than LEAST words are found as exact copies only, by a hash of
+the whole item at every position. The items of a block (bounded by ``block`` rows) are broadcast; larger
 benchmarks are worked off in further blocks, each against all documents.
 
-Defined results: null and empty texts and items never match; an item with fewer than LEAST words
-is not searched for. Repeated documents and items are reported each for itself.
+Defined results: null and empty texts and items never match. Repeated documents and items are reported each for itself.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ _WORD = re.compile(r"\w+")
 @cache
 def masks() -> tuple[tuple[int, ...], ...]:
     """Offsets of the words that each mask reads: greedily, the mask that leaves fewest substitution patterns unhit. All read the first two words."""
-    open_patterns = {frozenset(x) for x in itertools.combinations(range(WINDOW), MISSES)}
-    choices = [(0, 1, *inner, span - 1) for span in range(LEAST, 12) for inner in itertools.combinations(range(2, span - 1), WEIGHT - 3)]
-    hits = {m: {x for x in open_patterns if any(not x & {p + o for o in m} for p in range(WINDOW - m[-1]))} for m in choices}
+    open_patterns = {(n, frozenset(x)) for n in range(LEAST, WINDOW + 1) for x in itertools.combinations(range(n), MISSES * n // WINDOW)}
+    choices = [(0, 1, *inner, span - 1) for span in range(WEIGHT, 12) for inner in itertools.combinations(range(2, span - 1), WEIGHT - 3)]
+    hits = {m: {(n, x) for n, x in open_patterns if any(not x & {p + o for o in m} for p in range(n - m[-1]))} for m in choices}
     out = []
     while open_patterns:
         best = max(choices, key=lambda m: (len(hits[m] & open_patterns), -m[-1]))
@@ -56,10 +57,15 @@ class SeedIndex:
     def __init__(self, items: list[tuple[int, str | None]]):
         self.vocab: dict[str, int] = {}
         self.ids, self.names = [], []
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
         for name, text in items:
-            if len(w := words_of(text)) >= LEAST:
-                self.ids.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int32))
+            w = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in words_of(text)]
+            if len(w) >= LEAST:
+                self.ids.append(np.array(w, np.int32))
                 self.names.append(name)
+            elif w:
+                self.short.setdefault(len(w), {}).setdefault(tuple(w), []).append(name)
+        self.short_hash = {n: np.unique(np.concatenate([self.whole(np.array(w, np.int32), n) for w in found])) for n, found in self.short.items()}
         rng = np.random.default_rng(1)
         self.factor = rng.integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
         self.pairs = np.zeros(PAIRS, bool)
@@ -72,6 +78,14 @@ class SeedIndex:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hash >> np.uint64(42)).astype(np.int64)] = True
 
+    @staticmethod
+    def whole(x: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n words from each position on."""
+        h = np.zeros(max(0, len(x) - n + 1), np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + x[k : k + len(h)].astype(np.uint64)
+        return h
+
     @staticmethod
     def pair(x: np.ndarray) -> np.ndarray:
         return (x[:-1] * 1_000_003 + x[1:]) & (PAIRS - 1)
@@ -96,9 +110,22 @@ class SeedIndex:
         """For each matching item: matching words on its best diagonal, words of the item, first word in the document."""
         get = self.vocab.get
         words = words_of(text)
-        if len(words) < LEAST:
-            return {}
         x = np.fromiter(map(get, words, itertools.repeat(0)), np.int32, len(words))
+        return self.aligned(x) | self.copies(x)
+
+    def copies(self, x: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """The short items that a sequence contains word for word, at their first places."""
+        out: dict[int, tuple[int, int, int]] = {}
+        for n, found in self.short.items():
+            for p in np.flatnonzero(np.isin(self.whole(x, n), self.short_hash[n])).tolist():
+                for name in found.get(tuple(x[p : p + n].tolist()), ()):
+                    out.setdefault(name, (n, n, p))
+        return out
+
+    def aligned(self, x: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """The items of LEAST words or more that a sequence contains, by their seeds."""
+        if len(x) < LEAST:
+            return {}
         h, p = self.seeds(x)
         likely = self.bits[(h >> np.uint64(42)).astype(np.int64)]
         h, p = h[likely], p[likely]

@@ -254,5 +254,17 @@ def test_decontamination_substitutions_and_blocks(spark, awkward, empty):
     assert decontaminate.matches(empty, items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == 4
 
 
+def test_decontamination_of_short_items():
+    """One substitution at any place of an item of 8 to 12 words, and exact copies of still shorter ones."""
+    for n in range(1, 13):
+        index = decontaminate.SeedIndex([(1, " ".join(f"q{i}" for i in range(n))), (2, "other words " * 10)])
+        allowed = decontaminate.MISSES * n // decontaminate.WINDOW if n >= decontaminate.LEAST else 0
+        assert index.search("a b " + " ".join(f"Q{i}" for i in range(n)) + ", c") == {1: (n, n, 2)}
+        for at in range(n):
+            w = [f"q{i}" if i != at else "no" for i in range(n)]
+            assert index.search(f"a b {' '.join(w)} c") == ({1: (n - 1, n, 2)} if allowed else {})
+    assert decontaminate.SeedIndex([(1, "a few words"), (2, "")]).search("") == {}
+
+
 def test_fold_is_crc32(spark):
     assert spark.range(50).select(fold(F.col("id"), 3)).toPandas().iloc[:, 0].tolist() == [zlib.crc32(str(i).encode()) % 3 for i in range(50)]
