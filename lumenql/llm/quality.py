@@ -1,10 +1,10 @@
 """Document quality from random-indexing word vectors and a two-layer network.
 
 Every term has a fixed sparse ternary index vector, drawn from its hash. A term's word vector is
-its index vector plus the index vectors of its neighbours over the fitted texts, scaled to length
-one. A document is the mean of its terms' vectors, once over occurrences and once over distinct
+its index vector plus the index vectors of its neighbours over all texts, scaled to length one;
+tasks add the neighbours up in whole numbers, so the order of the texts does not matter. A document is the mean of its terms' vectors, once over occurrences and once over distinct
 terms, with two counts. One hidden layer and a logistic unit, trained in numpy, give a logit; one
-temperature, fitted on rows kept aside, makes probabilities of it. Fitting reads a bounded sample
+temperature, fitted on rows kept aside, makes probabilities of it. The network's fit reads a bounded sample
 of labelled rows (``sample``, lowest hashes of doc_id); scoring covers every whole text.
 
 Defined results: null and empty texts score as a text without terms; without both classes among
@@ -17,6 +17,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from .common import bounded_sample, map_texts
 
 SAMPLE = 12_000  # labelled rows that the fit reads, at most
 BUCKETS = 1 << 15
+BLOCK = 32  # buckets that are added up together
 WIDTH = 64
 HIDDEN = 32
 WINDOW = 2
@@ -60,10 +62,8 @@ def index_vectors(seed: int = 11, nonzero: int = 6) -> np.ndarray:
     return out
 
 
-def word_vectors(docs: list[np.ndarray]) -> np.ndarray:
-    """Index vectors plus those of neighbours up to WINDOW terms away, rows scaled to length one."""
-    index = index_vectors()
-    out = index.copy()
+def add_neighbours(sums: np.ndarray, docs: list[np.ndarray], index: np.ndarray) -> None:
+    """Add to each bucket's row of ``sums`` the index vectors of its neighbours up to WINDOW terms away."""
     for start in range(0, len(docs), 64):
         ids = np.concatenate([np.concatenate([d, np.full(WINDOW, -1, np.int32)]) for d in docs[start : start + 64]])
         near = np.zeros((len(ids), WIDTH), np.float32)
@@ -75,10 +75,47 @@ def word_vectors(docs: list[np.ndarray]) -> np.ndarray:
         order = order[np.searchsorted(ids[order], 0) :]
         if len(order):
             used, first = np.unique(ids[order], return_index=True)
-            out[used] += np.add.reduceat(near[order], first, axis=0)
+            sums[used] += np.add.reduceat(near[order], first, axis=0, dtype=np.float64).astype(np.int64)
+
+
+def scaled(sums: np.ndarray) -> np.ndarray:
+    """Word vectors: index vectors plus the neighbours' sums, rows scaled to length one."""
+    out = (index_vectors() + sums).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """The word vectors over every text of ``docs``; a task sends BUCKETS rows at most, and so do all of them together to the driver."""
+
+    def make():
+        terms, index, sums = TermIds(), index_vectors(), np.zeros((BUCKETS, WIDTH), np.int64)
+
+        def step(texts):
+            add_neighbours(sums, [terms(t) for t in texts], index)
+            return {"block": [], "sums": []}
+
+        def finish():
+            blocks = sums.reshape(-1, BLOCK * WIDTH)
+            used = np.flatnonzero(blocks.any(axis=1))
+            return {"block": used.astype(np.int32), "sums": [x.tobytes() for x in blocks[used]]}
+
+        step.finish = finish
+        return step
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK * WIDTH, np.int64)
+        for x in rows["sums"]:
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"block": rows["block"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    got = map_texts(docs, ["text"], make, "block int, sums binary").groupBy("block").applyInArrow(add_up, "block int, sums binary").toArrow()
+    out = np.zeros((BUCKETS // BLOCK, BLOCK * WIDTH), np.int64)
+    for block, x in zip(got["block"].to_pylist(), got["sums"].to_pylist(), strict=True):
+        out[block] = np.frombuffer(x, np.int64)
+    out = out.reshape(BUCKETS, WIDTH)
+    return scaled(out)
+
+
 def pool(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Means over occurrences and over distinct terms, log count, and share of distinct terms."""
     if not len(ids):
@@ -106,12 +143,11 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> Network:
+def train(docs: list[np.ndarray], y: np.ndarray, vectors: np.ndarray, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> Network:
     """Adam on four fifths of the rows; the temperature minimises the log loss of the fifth kept aside."""
     if not len(docs) or y.min() == y.max():
         width = 2 * WIDTH + 2
         return Network(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros(width), np.ones(width), np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), -30.0, 1.0)
-    vectors = word_vectors(docs)
     x = np.stack([pool(d, vectors) for d in docs])
     rng = np.random.default_rng(seed)
     aside = np.zeros(len(x), bool)
@@ -144,7 +180,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = 40, rate: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fit on at most ``sample`` rows of ``labels`` (doc_id, label 0/1) and their texts in ``docs``."""
+    """Word vectors over all of ``docs``; the network on at most ``sample`` rows of ``labels`` (doc_id, label 0/1) and their texts."""
     chosen = bounded_sample(labels.where("label is not null and doc_id is not null").select("doc_id", "label").distinct(), sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` short rows
 
@@ -153,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
         return lambda ids, ys, texts: {"doc_id": ids, "label": ys, "terms": [terms(t).tobytes() for t in texts]}
 
     got = map_texts(texts.withColumn("label", F.col("label").cast("int")), ["doc_id", "label", "text"], make, "doc_id long, label int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    return train([np.frombuffer(x, np.int32) for x in got["terms"].to_pylist()], got["label"].to_numpy().astype(float))
+    return train([np.frombuffer(x, np.int32) for x in got["terms"].to_pylist()], got["label"].to_numpy().astype(float), word_vectors(docs))
 
 
 def score(docs: DataFrame, held_out: Column, model: Network) -> DataFrame:

@@ -214,6 +214,19 @@ def test_classifiers_awkward(spark, awkward, empty, module):
     assert module.classify(empty, labels.limit(0), F.lit(False)).count() == 0
 
 
+def test_word_vectors_cover_unlabelled_texts(spark):
+    """Neighbours count in every text, labelled or not."""
+    rows = [(1, "good clean words"), (2, "bad poor words"), (3, "lonely term beside others and lonely again"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    got, index, ids = quality.fit(docs, labels).parts[0], quality.index_vectors(), quality.TermIds()
+    want = index.astype(float)
+    for x in (ids(t).tolist() for _, t in rows):
+        for i, a in enumerate(x):
+            want[a] += sum(index[x[j]] for j in range(max(0, i - 2), min(len(x), i + 3)) if j != i)
+    assert np.allclose(got, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-6)
+
+
 def test_masks_leave_no_pattern():
     import itertools
 
