@@ -71,6 +71,9 @@ class Scratch:
         for path in filter(None, (self.at.pop(x, None) for x in names)):
             self._delete(path)
 
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(x for x in list(self.at) if x not in names))
+
     def clear(self) -> None:
         if getattr(self.spark.sparkContext, "_jsc", None) is not None:
             self._delete(self.root)
@@ -116,10 +119,15 @@ def bounded_sample(labelled: DataFrame, limit: int) -> DataFrame:
     return labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def bits_for(n: int, most: int = 26) -> int:
+    """Size of a bitmap for n values that lets one in sixteen others through; 2**most bits (8 MB) at most."""
+    return min(most, max(12, (16 * n).bit_length()))
+
+
 def hash_bits(hashes: DataFrame, bits: int) -> DataFrame:
     """One row: which of the 64-bit values of the only column ``h`` occur, as a bitmap of 2**bits bits by their upper bits.
 
-    Its size is fixed whatever the corpus; at most it lets through more than it should.
+    At most it lets through more than it should, so what uses it needs an exact step behind.
     """
     word = F.shiftrightunsigned("h", 64 - bits + 6).alias("word")
     bit = F.shiftrightunsigned("h", 64 - bits).bitwiseAND(F.lit(63)).cast("int").alias("bit")
