@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import sys
@@ -63,9 +64,9 @@ def byte_symbols() -> dict[str, int]:
 
 
 class PairIndexEncoder:
-    """Encodes and decodes with one vocabulary; ``words_kept`` bounds the cache of encoded words."""
+    """Encodes and decodes with one vocabulary; ``kept`` bounds the bytes of the cache of encoded words, ids and all."""
 
-    def __init__(self, spec: str, words_kept: int = 1_000_000):
+    def __init__(self, spec: str, kept: int = 48 << 20):
         model, symbols = json.loads(spec), byte_symbols()
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in merges]
@@ -88,8 +89,14 @@ class PairIndexEncoder:
         keys = self.left << 32 | self.right
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
-        self.words: dict[str, bytes] = {}
-        self.words_kept = words_kept
+        self.kept = kept
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache of encoded words."""
+        self.codes = [i.to_bytes(4, "little") for i in self.special.values()]
+        self.place: dict[str | int, int] = {i: k for k, i in enumerate(self.special.values())}
+        self.held = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where none merges it."""
@@ -158,34 +165,45 @@ class PairIndexEncoder:
     def split(self, text: str) -> list[str]:
         return splitter(sys.maxunicode if not text.isascii() and ASTRAL.search(text) else 0xFFFF).findall(text)
 
-    def encode_batch(self, texts: list[str | None], together: int = 16_000_000) -> list[bytes]:
+    def encode_batch(self, texts: list[str | None], together: int = 6_000_000) -> list[bytes]:
         """The ids of each text; the new words of about ``together`` characters of text are encoded at once."""
         out: list[bytes] = []
-        rows: list[list[str | int]] = []
+        rows: list[np.ndarray] = []
         held = 0
         for t in texts:
             if t and self.cut and self.cut.search(t):
                 row: list[str | int] = []
                 for i, x in enumerate(self.cut.split(t)):
                     row.extend([self.special[x]] if i % 2 else self.split(x))
-                rows.append(row)
+                rows.append(self._places(row))
             else:
-                rows.append(self.split(t) if t else [])
+                rows.append(self._places(self.split(t) if t else []))
             held += len(t or "")
             if held >= together:
                 out.extend(self._encode_rows(rows))
                 rows, held = [], 0
         return out + self._encode_rows(rows)
 
-    def _encode_rows(self, rows: list[list[str | int]]) -> list[bytes]:
-        if len(self.words) > self.words_kept:
-            self.words = {}
-        self.words.update((i, i.to_bytes(4, "little")) for i in self.special.values())
-        new = list(set().union(*rows).difference(self.words))
+    def _places(self, row: list[str | int]) -> np.ndarray:
+        """Places of words in the cache; new ones get the next places, and their codes with the batch."""
+        place = self.place
+        found = list(map(place.get, row))
+        if None in found:
+            for w in set(row).difference(place):
+                place[w] = len(place)
+                self.held += 160 + 6 * len(w)
+            found = list(map(place.__getitem__, row))
+        return np.array(found, np.int32)
+
+    def _encode_rows(self, rows: list[np.ndarray]) -> list[bytes]:
+        new = list(itertools.islice(self.place, len(self.codes), None))
         for a, b in self._slices(new):
-            self.words.update(zip(new[a:b], self.encode_words(new[a:b]), strict=True))
-        get = self.words.__getitem__
-        return [b"".join(map(get, row)) for row in rows]
+            self.codes.extend(self.encode_words(new[a:b]))
+        get = self.codes.__getitem__
+        out = [b"".join(map(get, row.tolist())) for row in rows]
+        if self.held > self.kept:
+            self.forget()
+        return out
 
     @staticmethod
     def _slices(words: list[str], most: int = 1 << 24) -> list[tuple[int, int]]:
@@ -214,7 +232,7 @@ def load_spec(spark: SparkSession, path: str):
 
 @cache
 def encoder(spec: str) -> PairIndexEncoder:
-    """One encoder a Python worker: tasks that follow in the same worker reuse its table and its bounded word cache."""
+    """One encoder a Python worker: tasks that follow in the same worker reuse its table, but not its word cache."""
     return PairIndexEncoder(spec)
 
 
@@ -224,7 +242,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
     def make():
         enc = encoder(spec.value)
-        return lambda keys, texts: {key: keys, "token_ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in enc.encode_batch(texts)]}
+
+        def step(keys, texts):
+            return {key: keys, "token_ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in enc.encode_batch(texts)]}
+
+        step.close = enc.forget
+        return step
 
     return map_texts(docs, [key, text], make, f"{key} {docs.schema[key].dataType.simpleString()}, token_ids array<int>")
 
@@ -256,6 +279,7 @@ def digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 "decoded_sha256": [hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in rows],
             } | ({"token_ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in rows]} if with_ids else {})
 
+        step.close = enc.forget
         return step
 
     return map_texts(docs, ["doc_id", "text"], make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -91,11 +92,21 @@ def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind))
 
 
+def released() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, beside the JVM of the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_texts(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., dict]], schema: str) -> DataFrame:
     """Run ``make()`` once a task and its result on the lists of ``columns`` of each Arrow batch.
 
     Batches are bounded in rows and bytes by the session, so very long texts come in small batches.
-    The function returns the output columns as lists or arrays, of any common length.
+    The function returns the output columns as lists or arrays, of any common length. Its ``finish``,
+    if it has one, gives last rows; its ``close`` frees what a worker should not hold after the task.
     """
     out = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -110,6 +121,9 @@ def map_texts(df: DataFrame, columns: list[str], make: Callable[[], Callable[...
         if last := getattr(step, "finish", None):
             got = last()
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+        if close := getattr(step, "close", None):
+            close()
+        released()
 
     return df.select(*columns).mapInArrow(run, out)
 

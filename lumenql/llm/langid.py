@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, released
 
 BUCKETS = 1 << 15
 
@@ -187,6 +187,7 @@ def accepted(docs: DataFrame, model: MixtureModel, least_share: float) -> DataFr
             filled = pa.compute.coalesce(b.column(lang), pa.array([name for name, _ in found], b.schema.field(lang).type))
             out = pa.RecordBatch.from_arrays([filled if i == lang else c for i, c in enumerate(b.columns)], schema=b.schema)
             yield out.filter(pa.array([share > 0 and share >= least_share for _, share in found], pa.bool_()))
+        released()
 
     return docs.mapInArrow(run, docs.schema)
 
