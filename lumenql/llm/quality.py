@@ -2,8 +2,8 @@
 
 Every term has a fixed sparse ternary index vector, drawn from its hash. A term's word vector is
 its index vector plus the index vectors of its neighbours over all texts, scaled to length one;
-tasks add the neighbours up in whole numbers, so the order of the texts does not matter. A document is the mean of its terms' vectors, once over occurrences and once over distinct
-terms, with two counts. One hidden layer and a logistic unit, trained in numpy, give a logit; one
+tasks add the neighbours up in whole numbers, so the order of the texts does not matter. A document
+is the mean of its terms' vectors, once over occurrences and once over distinct terms, with two counts. One hidden layer and a logistic unit, trained in numpy, give a logit; one
 temperature, fitted on rows kept aside, makes probabilities of it. The network's fit reads a bounded sample
 of labelled rows (``sample``, lowest hashes of doc_id); scoring covers every whole text.
 
@@ -62,20 +62,44 @@ def index_vectors(seed: int = 11, nonzero: int = 6) -> np.ndarray:
     return out
 
 
-def add_neighbours(sums: np.ndarray, docs: list[np.ndarray], index: np.ndarray) -> None:
-    """Add to each bucket's row of ``sums`` the index vectors of its neighbours up to WINDOW terms away."""
-    for start in range(0, len(docs), 64):
-        ids = np.concatenate([np.concatenate([d, np.full(WINDOW, -1, np.int32)]) for d in docs[start : start + 64]])
-        near = np.zeros((len(ids), WIDTH), np.float32)
-        own = np.where((ids >= 0)[:, None], index[ids], 0)
-        for k in range(1, WINDOW + 1):
-            near[k:] += own[:-k]
-            near[:-k] += own[k:]
-        order = np.argsort(ids, kind="stable")
-        order = order[np.searchsorted(ids[order], 0) :]
-        if len(order):
-            used, first = np.unique(ids[order], return_index=True)
-            sums[used] += np.add.reduceat(near[order], first, axis=0, dtype=np.float64).astype(np.int64)
+class NeighbourSums:
+    """The sums, for each bucket, of the index vectors of its neighbours up to WINDOW terms away.
+
+    Neighbouring terms are counted as pairs, in slices of about ``together``; a pair then adds its
+    count to the few cells where the other's index vector is not zero.
+    """
+
+    def __init__(self, together: int = 1 << 22):
+        index = index_vectors()
+        at = np.nonzero(index)
+        self.cells = (at[1] + np.where(index[at] < 0, WIDTH, 0)).astype(np.int32).reshape(BUCKETS, -1)  # negative entries in a second row
+        self.sums = np.zeros((BUCKETS, WIDTH), np.int64)
+        self.together, self.pairs, self.held = together, [], 0
+
+    def add(self, docs: list[np.ndarray]) -> None:
+        gap = np.full(WINDOW, -1, np.int32)
+        for start in range(0, len(docs), 256):
+            ids = np.concatenate([x for d in docs[start : start + 256] for x in (d, gap)])
+            for k in range(1, WINDOW + 1):
+                a, b = ids[:-k], ids[k:]
+                self.pairs.append((a.astype(np.int64) * BUCKETS + b)[(a >= 0) & (b >= 0)])
+                self.held += len(self.pairs[-1])
+            if self.held >= self.together:
+                self.flush()
+
+    def flush(self) -> None:
+        pairs = np.sort(np.concatenate([np.zeros(0, np.int64), *self.pairs]))
+        self.pairs, self.held = [], 0
+        if not len(pairs):
+            return
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        n, pairs = np.diff(np.append(first, len(pairs))), pairs[first]
+        left, right = pairs // BUCKETS, pairs % BUCKETS
+        for some in np.array_split(np.arange(len(pairs)), 1 + len(pairs) // 500_000):
+            for own, other in ((left[some], right[some]), (right[some], left[some])):
+                cells = (own * (2 * WIDTH))[:, None] + self.cells[other]
+                counts = np.bincount(cells.ravel(), np.repeat(n[some], cells.shape[1]), BUCKETS * 2 * WIDTH).astype(np.int64).reshape(BUCKETS, 2, WIDTH)
+                self.sums += counts[:, 0] - counts[:, 1]
 
 
 def scaled(sums: np.ndarray) -> np.ndarray:
@@ -88,14 +112,15 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """The word vectors over every text of ``docs``; a task sends BUCKETS rows at most, and so do all of them together to the driver."""
 
     def make():
-        terms, index, sums = TermIds(), index_vectors(), np.zeros((BUCKETS, WIDTH), np.int64)
+        terms, near = TermIds(), NeighbourSums()
 
         def step(texts):
-            add_neighbours(sums, [terms(t) for t in texts], index)
+            near.add([terms(t) for t in texts])
             return {"block": [], "sums": []}
 
         def finish():
-            blocks = sums.reshape(-1, BLOCK * WIDTH)
+            near.flush()
+            blocks = near.sums.reshape(-1, BLOCK * WIDTH)
             used = np.flatnonzero(blocks.any(axis=1))
             return {"block": used.astype(np.int32), "sums": [x.tobytes() for x in blocks[used]]}
 
@@ -143,12 +168,11 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, vectors: np.ndarray, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> Network:
-    """Adam on four fifths of the rows; the temperature minimises the log loss of the fifth kept aside."""
-    if not len(docs) or y.min() == y.max():
+def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> Network:
+    """Adam on four fifths of the rows of pooled texts ``x``; the temperature minimises the log loss of the fifth kept aside."""
+    if not len(x) or y.min() == y.max():
         width = 2 * WIDTH + 2
         return Network(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros(width), np.ones(width), np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), -30.0, 1.0)
-    x = np.stack([pool(d, vectors) for d in docs])
     rng = np.random.default_rng(seed)
     aside = np.zeros(len(x), bool)
     aside[rng.permutation(len(x))[: len(x) // 5]] = True
@@ -183,13 +207,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Word vectors over all of ``docs``; the network on at most ``sample`` rows of ``labels`` (doc_id, label 0/1) and their texts."""
     chosen = bounded_sample(labels.where("label is not null and doc_id is not null").select("doc_id", "label").distinct(), sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` short rows
+    texts = texts.select(F.xxhash64("doc_id").alias("at"), F.col("label").cast("int").alias("label"), "text")
+    vectors = word_vectors(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def make():
         terms = TermIds()
-        return lambda ids, ys, texts: {"doc_id": ids, "label": ys, "terms": [terms(t).tobytes() for t in texts]}
+        return lambda at, ys, texts: {"at": at, "label": ys, "pooled": [pool(terms(t), shared.value).tobytes() for t in texts]}
 
-    got = map_texts(texts.withColumn("label", F.col("label").cast("int")), ["doc_id", "label", "text"], make, "doc_id long, label int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    return train([np.frombuffer(x, np.int32) for x in got["terms"].to_pylist()], got["label"].to_numpy().astype(float), word_vectors(docs))
+    got = map_texts(texts, ["at", "label", "text"], make, "at long, label int, pooled binary").toArrow().sort_by([("at", "ascending"), ("label", "ascending"), ("pooled", "ascending")])
+    x = np.frombuffer(b"".join(got["pooled"].to_pylist()), np.float32).reshape(-1, 2 * WIDTH + 2)
+    return train(x, got["label"].to_numpy().astype(float), vectors)
 
 
 def score(docs: DataFrame, held_out: Column, model: Network) -> DataFrame:

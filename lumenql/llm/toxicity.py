@@ -1,10 +1,15 @@
 """Toxicity by a second-order factorization machine over hashed terms.
 
-Terms are a document's distinct lower-case words and their first characters, hashed. Besides one
-weight a term, each has a small vector; the dot product of two terms' vectors is the weight of
-their meeting in a document, so an insult together with a group's mention can score above the sum
-of both. Fitting runs in numpy on a bounded sample of labelled rows (``sample``, lowest hashes of
-doc_id); scoring covers every whole text in numpy on the executors.
+Terms are a document's distinct lower-case words and their first characters, hashed, and marks for
+first characters that two, or three or more, of the distinct words share: one form of a stem may
+be harmless where several are not. Besides one weight a term, each has a small vector; the dot
+product of two terms' vectors is the weight of their meeting in a document, so an insult together
+with a group's mention can score above the sum of both. Most of the machine's terms are those that
+tell the classes apart by themselves; the rest are the most frequent others, which may do so in pairs.
+
+Fitting runs in numpy on a bounded sample of labelled rows (``sample``, lowest hashes of doc_id),
+and of each on its first ``LONGEST`` of the machine's terms, in the order of their choice; terms
+are counted and chosen from whole texts, and scoring covers every whole text, on the executors.
 
 Defined results: null and empty texts score as a text without terms; without both classes among
 the labelled rows every score is 0. Repeated rows score alike; labels that are null are not learned.
@@ -19,13 +24,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_texts
+from .common import Scratch, bounded_sample, map_texts
 
 SAMPLE = 20_000  # labelled rows that the fit reads, at most
 TERMS = 20_000  # hashed terms that the machine has, at most
 BITS = 20
 RANK = 8
-STEMS = (4, 5)
+FREQUENT = 512  # terms of those that are there for their meetings with others
+LONGEST = 2_000  # terms of a text that the fit reads, at most
+STEMS = (4, 5, 7)
 POSITIVE = 2.5  # weight of a toxic row in the loss
 CUT = 0.7
 _WORD = re.compile(r"[^\W_]+")
@@ -48,7 +55,9 @@ class TermHasher:
                 keys = [w, *(f"^{k}{w[:k]}" for k in STEMS)]
                 pair = seen[w] = tuple(zlib.crc32(k.encode("utf-8", "surrogatepass")) >> (32 - BITS) for k in keys)
             out.extend(pair)
-        return np.unique(np.array(out, np.int32))
+        terms, n = np.unique(np.array(out, np.int32), return_counts=True)
+        marks = [(terms[n >= k].astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(k * 0x05EBCA77)) >> np.uint32(32 - BITS) for k in (2, 3)]
+        return np.unique(np.concatenate([terms, *(m.astype(np.int32) for m in marks)]))
 
 
 class FactorizationMachine:
@@ -66,28 +75,42 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def select_terms(docs: list[np.ndarray], y: np.ndarray, most: int, least_df: int = 5) -> np.ndarray:
-    """A row (from 1) for each of the terms that tell the classes apart best by chi-square; 0 for all others."""
-    size = 1 << BITS
-    df = np.bincount(np.concatenate(docs), minlength=size).astype(float)
-    pos = np.bincount(np.concatenate([d for d, v in zip(docs, y, strict=True) if v]), minlength=size)
-    n, p = len(docs), y.mean()
+def select_terms(term: np.ndarray, df: np.ndarray, pos: np.ndarray, n: int, p: float, most: int, least_df: int = 5, least_gap: float = 6.63) -> np.ndarray:
+    """A row (from 1) for each chosen term, 0 for all others, given the documents that hold a term, and the positive ones.
+
+    The first are the terms that tell the classes apart by chi-square, best first, as far as
+    ``least_gap``; the last ``FREQUENT`` are the most frequent others.
+    """
     gap = (pos - df * p) ** 2 / np.maximum(df * p * (1 - p) * (1 - df / n), 1e-9)
-    gap[df < least_df] = 0
-    order = np.argsort(-gap, kind="stable")[:most]
-    order = order[gap[order] > 0]
-    at = np.zeros(size, np.int32)
+    often = np.flatnonzero(df >= least_df)
+    by_gap = often[np.lexsort((term[often], -gap[often]))]
+    by_gap = by_gap[gap[by_gap] >= least_gap][: max(0, most - FREQUENT)]
+    rest = np.setdiff1d(often, by_gap)
+    by_df = rest[np.lexsort((term[rest], -df[rest]))][:FREQUENT]
+    at = np.zeros(1 << BITS, np.int32)
+    order = term[np.concatenate([by_gap, by_df])]
     at[order] = np.arange(1, len(order) + 1)
     return at
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, terms: int = TERMS, rank: int = RANK, epochs: int | None = None, rate: float = 0.1, l2: float = 2e-5, seed: int = 7) -> FactorizationMachine:
-    """Logistic loss by AdaGrad in mini-batches; all randomness comes from ``seed``."""
+def counted(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, the documents that hold them, and the positive ones of those."""
+    term, at = np.unique(np.concatenate(docs), return_inverse=True)
+    return term, np.bincount(at).astype(float), np.bincount(at, np.repeat(y, [len(d) for d in docs]))
+
+
+def train(docs: list[np.ndarray], y: np.ndarray, at: np.ndarray | None = None, terms: int = TERMS, rank: int = RANK, epochs: int | None = None, rate: float = 0.1, l2: float = 2e-5, seed: int = 7) -> FactorizationMachine:
+    """Logistic loss by AdaGrad in mini-batches; all randomness comes from ``seed``.
+
+    ``docs`` are the documents' terms, or their rows in ``at`` if that is given.
+    """
     if not len(docs) or y.min() == y.max():
         return FactorizationMachine(np.zeros(1 << BITS, np.int32), -30.0, np.zeros(1, np.float32), np.zeros((1, rank), np.float32))
     epochs = epochs or max(12, min(80, 240_000 // len(docs)))  # small samples need as many steps as large ones
-    at = select_terms(docs, y, terms)
-    rows = [r[r > 0] for r in (at[d] for d in docs)]
+    if at is None:
+        at = select_terms(*counted(docs, y), len(docs), float(y.mean()), terms)
+        docs = [at[d] for d in docs]
+    rows = [r[r > 0] for r in docs]
     rng, size = np.random.default_rng(seed), int(at.max()) + 1
     weight, factor = np.zeros(size, np.float32), rng.normal(0, 0.02, (size, rank)).astype(np.float32)
     bias = float(np.log(y.mean() / (1 - y.mean())))
@@ -119,13 +142,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
     """Fit on at most ``sample`` rows of ``labels`` (doc_id, label 0/1) and their texts in ``docs``."""
     chosen = bounded_sample(labels.where("label is not null and doc_id is not null").select("doc_id", "label").distinct(), sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` short rows
+    texts = texts.select(F.xxhash64("doc_id").alias("at"), F.col("label").cast("int").alias("label"), "text")
+    scratch = Scratch(docs.sparkSession, "toxicity")
 
     def make():
         terms = TermHasher()
-        return lambda ids, ys, texts: {"doc_id": ids, "label": ys, "terms": [terms(t).tobytes() for t in texts]}
+        return lambda at, ys, texts: {"at": at, "label": ys, "terms": [terms(t) for t in texts]}
+
+    held = scratch.keep("terms", map_texts(texts, ["at", "label", "text"], make, "at long, label int, terms array<int>"))
+    n, positive = held.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not n or not 0 < positive < n:
+        return train([], np.zeros(0))
+    found = held.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("pos")).where("df > 1").toArrow()  # 2**BITS rows at most
+    rows = select_terms(found["term"].to_numpy(), found["df"].to_numpy().astype(float), found["pos"].to_numpy().astype(float), n, positive / n, TERMS)
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def pick():
+        def step(at, ys, terms):
+            found = [shared.value[np.array(x, np.int32)] for x in terms]
+            return {"at": at, "label": ys, "rows": [np.sort(r[r > 0])[:LONGEST].tobytes() for r in found]}
+
+        return step
 
-    got = map_texts(texts.withColumn("label", F.col("label").cast("int")), ["doc_id", "label", "text"], make, "doc_id long, label int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    return train([np.frombuffer(x, np.int32) for x in got["terms"].to_pylist()], got["label"].to_numpy().astype(float))
+    got = map_texts(held, ["at", "label", "terms"], pick, "at long, label int, rows binary").toArrow().sort_by([("at", "ascending"), ("label", "ascending"), ("rows", "ascending")])
+    scratch.drop("terms")
+    return train([np.frombuffer(x, np.int32) for x in got["rows"].to_pylist()], got["label"].to_numpy().astype(float), rows)
 
 
 def score(docs: DataFrame, held_out: Column, model: FactorizationMachine) -> DataFrame:
