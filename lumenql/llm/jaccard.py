@@ -335,7 +335,8 @@ def linked(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataF
     labels, edges, tried = None, None, None
     for k in range(_STAR_ROUNDS + 1):
         marked = members.withColumn("comp", F.col("cid")) if labels is None else members.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        mixed = marked.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("cid", "standing").alias("head"), F.max_by("comp", "standing").alias("main")).where("low < high")
+        mixed = marked.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("cid", "standing").alias("head"), F.max_by("comp", "standing").alias("main")).where("low < high").drop("low", "high")
+        mixed = scratch.keep("mixed", mixed)  # written, so that adaptive execution can split the joins with hot buckets
         if k < _STAR_ROUNDS:  # all members against the bucket's member of the highest standing
             rest = marked.join(mixed.select("sig", "head", "main"), "sig").where("comp <> main")
             pairs = rest.select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
@@ -352,7 +353,7 @@ def linked(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataF
         if not new.isEmpty():
             edges = scratch.keep("edges", new if edges is None else edges.union(new))
             labels = components(edges, scratch, "round")
-    scratch.drop("members", "sets", "tried", "apart", "fresh", "new", "edges")
+    scratch.drop("members", "sets", "tried", "apart", "fresh", "new", "edges", "mixed")
     return labels
 
 
@@ -365,6 +366,6 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         rows = rows.withColumn("comp", F.col("cid"))
     else:
         rows = rows.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    names = rows.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("name"))
+    names = scratch.keep("names", rows.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("name")))  # written: the join with a large component can be split
     out = rows.join(names, "comp", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
