@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 #: name -> (parameters, result, body). All return NULL for a NULL first argument unless said otherwise.
@@ -18,7 +20,6 @@ STRING = {
     "c_space": ("n BIGINT", "STRING", "repeat(' ', cast(greatest(n, 0) AS INT))"),
     "c_strcmp": ("a STRING, b STRING", "BIGINT", "CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END"),
     "c_instr": ("s STRING, sub STRING", "BIGINT", "cast(instr(s, sub) AS BIGINT)"),
-    "c_length": ("s STRING", "BIGINT", "cast(char_length(s) AS BIGINT)"),
     "c_byte_length": ("s STRING", "BIGINT", "cast(octet_length(s) AS BIGINT)"),
 }
 NUMBER = {
@@ -42,14 +43,16 @@ TIME = {
     "c_date_sub": ("d DATE, n BIGINT", "DATE", "date_sub(d, cast(n AS INT))"),
     "c_date_format": ("d TIMESTAMP_NTZ, f STRING", "STRING", "replace(replace(replace(replace(replace(replace(f, '%Y', date_format(d, 'yyyy')), '%m', date_format(d, 'MM')), '%d', date_format(d, 'dd')), '%H', date_format(d, 'HH')), '%i', date_format(d, 'mm')), '%s', date_format(d, 'ss'))"),
     "c_makedate": ("y BIGINT, n BIGINT", "DATE", "date_add(try_to_date(concat(lpad(cast(y AS STRING), 4, '0'), '-01-01')), cast(n - 1 AS INT))"),
-    "c_maketime": ("h BIGINT, m BIGINT, s DOUBLE", "STRING", "format_string('%02d:%02d:%02d', h, m, cast(s AS BIGINT))"),
+    "c_maketime": ("h BIGINT, m BIGINT, s DOUBLE", "STRING", "CASE WHEN h IS NOT NULL AND m IS NOT NULL AND s IS NOT NULL THEN format_string('%02d:%02d:%02d', h, m, cast(s AS BIGINT)) END"),
     "c_current_time": ("", "TIMESTAMP", "current_timestamp()"),
-    **{f"c_{n}": ("d TIMESTAMP_NTZ", "BIGINT", f"cast({f}(d) AS BIGINT)") for n, f in {"year": "year", "month": "month", "day": "dayofmonth", "quarter": "quarter", "week": "weekofyear", "dayofweek": "dayofweek", "dayofyear": "dayofyear", "hour": "hour", "minute": "minute", "second": "second"}.items()},
+    **{f"c_{n}": ("d TIMESTAMP_NTZ", "BIGINT", f"cast({f}(d) AS BIGINT)") for n, f in {"year": "year", "month": "month", "day": "dayofmonth", "quarter": "quarter", "week": "weekofyear", "dayofweek": "dayofweek", "dayofyear": "dayofyear"}.items()},
+    **{f"c_{n}": ("s STRING", "BIGINT", f"CASE WHEN s RLIKE '^[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}$' THEN cast(split_part(s, ':', {i}) AS BIGINT) ELSE cast({n}(try_cast(s AS TIMESTAMP_NTZ)) AS BIGINT) END") for i, n in enumerate(("hour", "minute", "second"), 1)},
 }
 OTHER = {
     "c_to_string": ("x STRING", "STRING", r"regexp_replace(x, '^(-?[0-9]+)\\.0$', '$1')"),
     "c_to_int": ("x STRING", "BIGINT", "CASE WHEN trim(x) = x THEN try_cast(x AS BIGINT) END"),
     "c_to_float": ("x STRING", "DOUBLE", "try_cast(x AS DOUBLE)"),
+    "c_type_name": ("kind STRING", "STRING", "CASE kind WHEN 'bigint' THEN 'INT' WHEN 'int' THEN 'INT' WHEN 'double' THEN 'FLOAT' WHEN 'string' THEN 'VARCHAR' WHEN 'binary' THEN 'BLOB' WHEN 'date' THEN 'DATE' WHEN 'timestamp_ntz' THEN 'DATETIME' WHEN 'timestamp' THEN 'DATETIME' WHEN 'boolean' THEN 'INT' WHEN 'void' THEN 'NULL' ELSE CASE WHEN kind LIKE 'decimal%' THEN 'FLOAT' ELSE upper(kind) END END"),
 }
 _DIRTY_HEX = r"regexp_replace(regexp_replace(s, '\\s', ''), '^0[xX]', '')"
 _DATA_URI = r"translate(regexp_replace(s, '^data:[^,]*,', ''), '-_', '+/')"
@@ -88,7 +91,7 @@ ALL = {**STRING, **NUMBER, **TIME, **OTHER, **BLOB}
 #: dialect name -> template by argument count (None: any count); {0}, {1} are arguments, {*} all of them.
 RENAMED: dict[str, dict[int | None, str]] = {
     "CONCAT": {None: "concat_ws('', {*})"},
-    "LEN": {1: "c_length({0})"}, "LENGTH": {1: "c_length({0})"}, "CHAR_LENGTH": {1: "c_length({0})"}, "CHARACTER_LENGTH": {1: "c_length({0})"},
+    "LEN": {1: "cast(char_length({0}) AS BIGINT)"}, "LENGTH": {1: "cast(char_length({0}) AS BIGINT)"}, "CHAR_LENGTH": {1: "cast(char_length({0}) AS BIGINT)"}, "CHARACTER_LENGTH": {1: "cast(char_length({0}) AS BIGINT)"},
     "BYTE_LENGTH": {1: "c_byte_length({0})"}, "OCTET_LENGTH": {1: "c_byte_length({0})"},
     "TRIM": {1: "c_trim({0})", 2: "c_trim_set({0}, {1})"}, "LTRIM": {2: "c_ltrim_set({0}, {1})"}, "RTRIM": {2: "c_rtrim_set({0}, {1})"},
     "SUBSTRING": {2: "c_substring({0}, {1})", 3: "c_substring_len({0}, {1}, {2})"}, "SUBSTR": {2: "c_substring({0}, {1})", 3: "c_substring_len({0}, {1}, {2})"},
@@ -101,9 +104,9 @@ RENAMED: dict[str, dict[int | None, str]] = {
     "DATE_FORMAT": {2: "c_date_format({0}, {1})"}, "MAKEDATE": {2: "c_makedate({0}, {1})"}, "MAKETIME": {3: "c_maketime({0}, {1}, {2})"},
     **{n: {1: f"c_{n.lower()}({{0}})"} for n in ("YEAR", "MONTH", "DAY", "QUARTER", "WEEK", "DAYOFWEEK", "DAYOFYEAR", "HOUR", "MINUTE", "SECOND")},
     "TO_STRING": {1: "c_to_string(cast({0} AS STRING))"}, "TO_INT": {1: "c_to_int(cast({0} AS STRING))"}, "TO_FLOAT": {1: "c_to_float(cast({0} AS STRING))"},
-    "IFNULL": {None: "coalesce({*})"}, "IF": {3: "CASE WHEN ({0}) IS NULL THEN NULL WHEN {0} THEN {1} ELSE {2} END"}, "IIF": {3: "CASE WHEN ({0}) IS NULL THEN NULL WHEN {0} THEN {1} ELSE {2} END"},
+    "IFNULL": {None: "coalesce({*})"}, "IF": {3: "CASE cast({0} AS BOOLEAN) WHEN true THEN {1} WHEN false THEN {2} END"}, "IIF": {3: "CASE cast({0} AS BOOLEAN) WHEN true THEN {1} WHEN false THEN {2} END"},
     "ISNULL": {1: "cast(({0}) IS NULL AS BIGINT)"}, "IS_NOT_NULL": {1: "cast(({0}) IS NOT NULL AS BIGINT)"},
-    "TYPEOF": {1: "CASE typeof({0}) WHEN 'bigint' THEN 'INT' WHEN 'int' THEN 'INT' WHEN 'double' THEN 'FLOAT' WHEN 'string' THEN 'VARCHAR' WHEN 'binary' THEN 'BLOB' WHEN 'date' THEN 'DATE' WHEN 'timestamp_ntz' THEN 'DATETIME' WHEN 'timestamp' THEN 'DATETIME' WHEN 'boolean' THEN 'INT' WHEN 'void' THEN 'NULL' ELSE upper(typeof({0})) END"},
+    "TYPEOF": {1: "c_type_name(typeof({0}))"},
     "IMAGE_FROM_BASE64": {1: "c_image_from_base64({0})"}, "IMAGE_TO_BASE64": {1: "c_to_base64({0})", 2: "c_image_to_base64({0}, {1})"},
     "IMAGE_WIDTH": {1: "c_image_width({0})"}, "IMAGE_HEIGHT": {1: "c_image_height({0})"}, "IMAGE_FORMAT": {1: "c_image_format({0})"}, "IMAGE_SIZE": {1: "c_image_size({0})"}, "IMAGE_MIME": {1: "c_image_mime({0})"},
     "IMAGE_FROM_HEX": {1: "c_from_hex({0})"}, "IMAGE_TO_HEX": {1: "c_to_hex({0})"}, "BLOB_FROM_BASE64": {1: "c_from_base64({0})"}, "BLOB_TO_BASE64": {1: "c_to_base64({0})"},
@@ -113,11 +116,23 @@ RENAMED: dict[str, dict[int | None, str]] = {
 BUILTIN_NAMES = "UPPER LOWER LEFT RIGHT REVERSE REPEAT CONCAT_WS POWER POW LOG10 LOG2 EXP RADIANS DEGREES SIN COS TAN RAND UUID CURRENT_DATE LAST_DAY COALESCE NULLIF COUNT SUM AVG MIN MAX".split()
 
 
+@contextmanager
+def lenient(spark: SparkSession):
+    """Statements analysed within give NULL where a value does not fit, instead of an error."""
+    was = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", was)
+
+
 def register(spark: SparkSession) -> None:
     """Create the temporary functions in a session; doing so again is harmless.
 
     Variable substitution is switched off, since it would rewrite string literals that hold ``${``.
     """
     spark.conf.set("spark.sql.variable.substitute", "false")
-    for name, (parameters, result, body) in ALL.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
+    with lenient(spark):
+        for name, (parameters, result, body) in ALL.items():
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..dialect import rewrite
-from ..functions import register
+from ..functions import lenient, register
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,8 @@ def statement(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for name in TABLES:
         if re.search(rf"\b{name}\b", sql):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(rewrite(sql, variables={"version": "'8.0.0-lumenql'"}))
+    with lenient(spark):
+        return spark.sql(rewrite(sql, variables={"version": "'8.0.0-lumenql'"}))
 
 
 def sql(name: str, text: str, oracle: str | None = None, same: bool = True) -> None:

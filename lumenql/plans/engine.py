@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,19 +15,19 @@ from .catalog import query, table
 
 
 def _engine(spark: SparkSession) -> Engine:
-    """An engine on an empty database in the shared folder, deleted when the interpreter ends."""
+    """An engine on an empty database in the shared folder (in local mode, one of our own where that is unset), deleted when the interpreter ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        root = f"{shared.rstrip('/')}/lumenql-{id(object())}-{len(_MADE)}"
+        root = f"{shared.rstrip('/')}/lumenql-{uuid.uuid4().hex}"
         atexit.register(lambda: spark.sparkContext._jsc is not None and Files(spark).delete(root))
+    elif not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     else:
         root = tempfile.mkdtemp(prefix="lumenql-")
         atexit.register(shutil.rmtree, root, True)
-    _MADE.append(root)
     return Engine(spark, root)
 
 
-_MADE: list[str] = []
 _CUSTOMERS = "CREATE TABLE cust (id INT PRIMARY KEY, name VARCHAR(50) NOT NULL, balance FLOAT, segment CHAR(12) DEFAULT 'NONE')"
 
 

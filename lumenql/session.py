@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -13,7 +14,7 @@ from . import scripts
 from .ddl import Cursor, IndexSpec, create_index, create_table, text_of
 from .ddl import column as parse_column
 from .dialect import DialectError, Rewriter, Token, name_of, quote_name, quote_string, split_statements, string_value
-from .functions import register
+from .functions import lenient, register
 from .operators import fulltext as fts
 from .sources import folders
 from .store import ORDER, ROWID, Catalog, Column, Table, numbered
@@ -23,9 +24,12 @@ VARIABLES = {
     "version": "'8.0.0-lumenql'", "version_comment": "'LumenQL on Apache Spark'", "autocommit": "1", "sql_mode": "''", "time_zone": "'UTC'", "system_time_zone": "'UTC'", "character_set_client": "'utf8mb4'",
     "character_set_connection": "'utf8mb4'", "character_set_results": "'utf8mb4'", "character_set_server": "'utf8mb4'", "character_set_database": "'utf8mb4'", "collation_connection": "'utf8mb4_general_ci'", "collation_server": "'utf8mb4_general_ci'",
     "collation_database": "'utf8mb4_general_ci'", "max_allowed_packet": "67108864", "wait_timeout": "28800", "interactive_timeout": "28800", "net_write_timeout": "60", "tx_isolation": "'SNAPSHOT'", "transaction_isolation": "'SNAPSHOT'",
-    "auto_increment_increment": "1", "lower_case_table_names": "0", "license": "'Apache-2.0'", "init_connect": "''",
+    "net_buffer_length": "16384", "query_cache_size": "0", "query_cache_type": "'OFF'", "auto_increment_increment": "1", "lower_case_table_names": "0", "license": "'Apache-2.0'", "init_connect": "''",
 }
 
+#: Words after a table's name that are no alias.
+_AFTER_TABLE = set("WHERE JOIN INNER LEFT RIGHT FULL CROSS NATURAL ON USING GROUP ORDER HAVING LIMIT OFFSET UNION INTERSECT EXCEPT SET INTO".split())
+
 
 class ConstraintError(ValueError):
     """Rows break a constraint of their table."""
@@ -50,6 +54,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, database: str = "main", enforce: bool = True):
         self.spark, self.root, self.enforce = spark, root.rstrip("/"), enforce
         self.variables = dict(VARIABLES)
+        self._stage: str | None = None
         register(spark)
         folders.register(spark)
         self.host = folders.host_functions(spark)
@@ -98,7 +103,23 @@ class Engine:
         if run is None:
             raise DialectError(f"unknown statement {c.peek().text!r}")
         c.next()
-        return run(c)
+        return self._undone_on_error(lambda: run(c))
+
+    def _undone_on_error(self, run: Callable[[], Any]) -> Any:
+        """Run a command; if it fails, forget what it changed in memory and delete what it staged."""
+        with lenient(self.spark):
+            try:
+                return run()
+            except Exception:
+                if self._stage:
+                    self._drop_staged()
+                before = set(self.catalog.tables)
+                self.catalog.reload()
+                for name in before - set(self.catalog.tables):
+                    self.spark.catalog.dropTempView(name)
+                for name in self.catalog.tables:
+                    self._publish(name)
+                raise
 
     @staticmethod
     def _bind(tokens: list[Token], parameters: list[Any]) -> list[Token]:
@@ -137,37 +158,72 @@ class Engine:
             path = string_value(tokens[cut + 1])
             rows.write.option("header", True).csv(path) if path.endswith(".csv") else rows.write.parquet(path)
             return rows
-        tokens = self._schema_views(tokens)
-        hits: list[str] = []
-        text = Rewriter(self._matcher(tokens, hits), self.variables, self.host).rewrite(tokens)
-        out = self.spark.sql(text)
-        out.schema  # noqa: B018
-        return out.drop(ROWID) if hits and ROWID in out.columns else out
-
-    def _matcher(self, tokens: list[Token], hits: list[str]):
-        """What MATCH becomes: membership of the row id in the index's hits, which Catalyst plans as a semi join, or a substring test without an index."""
-
-        def match(column: str, query: str, level: int | None) -> str:
-            named = [t.text.strip("`") for t in tokens if t.kind in ("word", "quoted") and t.text.strip("`") in self.catalog.tables]
-            for name in dict.fromkeys(named):
+        views: list[str] = []
+        tokens, tables = self._searched(self._schema_views(tokens, views), views)
+        with lenient(self.spark):
+            text = Rewriter(self._matcher(tables, views), self.variables, self.host).rewrite(tokens)
+            out = self.spark.sql(text)
+            out.schema  # noqa: B018
+        for view in views:  # the plan holds what they stood for
+            self.spark.catalog.dropTempView(view)
+        return out.drop(ROWID) if views and ROWID in out.columns else out
+
+    def _table_names(self, tokens: list[Token]) -> list[tuple[int, str, str, bool]]:
+        """Where FROM and JOIN name tables: place, table, the name it goes by, and whether that is an alias."""
+        out, listing = [], False
+        for i, t in enumerate(tokens):
+            before = tokens[i - 1] if i else Token("op", "")
+            listing = True if t.upper == "FROM" else False if t.upper in ("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "ON", "SELECT", "SET") else listing
+            if t.kind in ("word", "quoted") and name_of(t) in self.catalog.tables and (before.upper in ("FROM", "JOIN") or listing and before.text == ","):
+                at = i + 1 + (i + 1 < len(tokens) and tokens[i + 1].upper == "AS")
+                alias = at < len(tokens) and tokens[at].kind in ("word", "quoted") and tokens[at].upper not in _AFTER_TABLE
+                out.append((i, name_of(t), name_of(tokens[at]) if alias else name_of(t), alias))
+        return out
+
+    def _searched(self, tokens: list[Token], views: list[str]) -> tuple[list[Token], dict[str, str]]:
+        """A statement whose searched tables are private views with row ids, and the table of each name."""
+        named = self._table_names(tokens)
+        tables = {goes_by: name for _, name, goes_by, _ in named}
+        if not any(t.upper == "MATCH" for t in tokens):
+            return tokens, tables
+        out = list(tokens)
+        for i, name, _, alias in reversed(named):
+            if any(x.get("fulltext") for x in self.catalog.tables[name].indexes.values()):
+                view = f"__table_{uuid.uuid4().hex}"
+                views.append(view)
+                self.catalog.read(name).createOrReplaceTempView(view)
+                out[i : i + 1] = [Token("word", view)] if alias else [Token("word", view), Token("word", "AS"), tokens[i]]
+        return out, tables
+
+    def _matcher(self, tables: dict[str, str], views: list[str]):
+        """What MATCH becomes: membership of the row id in the index's hits, which Catalyst plans as a semi join, or a substring test without an index.
+
+        A qualifier says which table is meant; without one it is the first with an index on a column of the name.
+        """
+
+        def match(column: str, query: str, level: int | None, qualifier: str | None = None) -> str:
+            for goes_by, name in tables.items():
+                if qualifier is not None and qualifier.lower() != goes_by.lower():
+                    continue
                 for index in self.catalog.tables[name].indexes.values():
                     if index.get("fulltext") and index["columns"][0].lower() == column.lower():
                         view = f"__hits_{uuid.uuid4().hex}"
                         self.search_rows(name, index, query, level).createOrReplaceTempView(view)
-                        hits.append(view)
-                        self.catalog.read(name).createOrReplaceTempView(quote_name(name))
-                        return f"{ROWID} IN (SELECT {ROWID} FROM {view})"
-            return f"contains(lower({quote_name(column)}), lower({quote_string(query)}))"
+                        views.append(view)
+                        return f"{quote_name(goes_by)}.{ROWID} IN (SELECT {ROWID} FROM {view})"
+            place = f"{quote_name(qualifier)}." if qualifier else ""
+            return f"contains(lower({place}{quote_name(column)}), lower({quote_string(query)}))"
 
         return match
 
-    def _schema_views(self, tokens: list[Token]) -> list[Token]:
+    def _schema_views(self, tokens: list[Token], views: list[str]) -> list[Token]:
         """information_schema.x as a view made for this query."""
         out, i = [], 0
         while i < len(tokens):
             if tokens[i].text.lower() == "information_schema" and i + 2 < len(tokens) and tokens[i + 1].text == ".":
                 kind = name_of(tokens[i + 2]).upper()
                 view = f"__schema_{kind.lower()}"
+                views.append(view)
                 self.information_schema(kind).createOrReplaceTempView(view)
                 out.append(Token("word", view))
                 i += 3
@@ -246,6 +302,9 @@ class Engine:
 
     def insert_rows(self, name: str, rows: DataFrame, columns: list[str] | None = None) -> ExecResult:
         """Append rows; columns names theirs by place (None: all). Sequences always number anew."""
+        return self._undone_on_error(lambda: self._insert_rows(name, rows, columns))
+
+    def _insert_rows(self, name: str, rows: DataFrame, columns: list[str] | None) -> ExecResult:
         t = self.catalog.table(name)
         columns = [x.name for x in t.columns] if columns is None else columns
         if len(rows.columns) != len(columns):
@@ -288,6 +347,7 @@ class Engine:
 
     def _drop_staged(self) -> None:
         self.catalog.files.delete(self._stage)
+        self._stage = None
 
     def _check_lengths(self, t: Table, rows: DataFrame, columns: list[str]) -> None:
         for x in (x for x in t.columns if x.length and x.name in columns):
@@ -324,14 +384,17 @@ class Engine:
         view = f"__target_{uuid.uuid4().hex}"
         has_files = bool(self.catalog.table(name).files)
         self.catalog.read(name).withColumn("__file", F.col("_metadata.file_path") if has_files else F.lit("")).createOrReplaceTempView(view)
-        text = Rewriter(self._matcher([Token("word", name), *condition], []), self.variables).rewrite(condition) if condition else "true"
+        views = [view]
+        text = Rewriter(self._matcher({name: name}, views), self.variables).rewrite(condition) if condition else "true"
         found = self.spark.sql(f"SELECT {ROWID}, __file FROM {view} AS {quote_name(name)} WHERE {text}")
         if limit is not None:
             found = found.orderBy(ROWID).limit(limit)
         found = self._staged(found)
         counts = {r[0]: r[1] for r in found.groupBy("__file").count().collect()}  # a row a data file
-        touched = [f for f in self.catalog.table(name).files if any(k.endswith(f) for k in counts)]
-        self.spark.catalog.dropTempView(view)
+        names = {"/".join(k.rsplit("/", 2)[1:]) for k in counts}
+        touched = [f for f in self.catalog.table(name).files if f.split("/", 1)[1] in names]
+        for v in views:
+            self.spark.catalog.dropTempView(v)
         return found.select(ROWID), touched, sum(counts.values())
 
     def _tail(self, c: Cursor) -> tuple[list[Token], int | None]:
@@ -375,6 +438,7 @@ class Engine:
         hits, touched, count = self._hits(t.name, *self._tail(c))
         if count:
             view = f"__old_{uuid.uuid4().hex}"
+            keys = {m for _, rule in self._children(t.name) for m in rule["others"]}
             self.catalog.read(t.name, touched).join(hits.withColumn("__hit", F.lit(True)), ROWID, "left").createOrReplaceTempView(view)
             new = self.spark.sql(f"SELECT {ROWID}, coalesce(__hit, false) AS __hit, {', '.join(f'CASE WHEN __hit THEN {changes[x.name]} ELSE {quote_name(x.name)} END AS {quote_name(x.name)}' if x.name in changes else quote_name(x.name) for x in t.columns)} FROM {view} AS {quote_name(t.name)}")
             changed = new.where("__hit")
@@ -386,7 +450,13 @@ class Engine:
             if self.enforce and any(r["kind"] in ("primary", "unique") and set(r["columns"]) & set(changes) for r in t.constraints):
                 rest = self.catalog.read(t.name, [f for f in t.files if f not in set(touched)])
                 self._validate(t, new.drop("__hit").unionByName(rest), appended=False)
+            if keys & set(changes):
+                rest = self.catalog.read(t.name, [f for f in t.files if f not in set(touched)])
+                self._keep_parents(t.name, new.drop("__hit").unionByName(rest))
+            self.spark.catalog.dropTempView(view)
             self._replace(t, touched, new.drop("__hit"))
+        else:
+            self._drop_staged()
         return ExecResult(count, message=f"{count} row(s) updated")
 
     def _do_delete(self, c: Cursor) -> ExecResult:
@@ -395,9 +465,24 @@ class Engine:
         hits, touched, count = self._hits(t.name, *self._tail(c))
         if count:
             t.rows -= count
+            self._keep_parents(t.name, self.catalog.read(t.name).join(hits, ROWID, "left_anti"))
             self._replace(t, touched, self.catalog.read(t.name, touched).join(hits, ROWID, "left_anti"))
+        else:
+            self._drop_staged()
         return ExecResult(count, message=f"{count} row(s) deleted")
 
+    def _children(self, name: str) -> list[tuple[str, dict]]:
+        """Tables with a foreign key to a table, and the rule."""
+        return [(t.name, r) for t in self.catalog.tables.values() for r in t.constraints if r["kind"] == "foreign" and r["table"] == name]
+
+    def _keep_parents(self, name: str, left: DataFrame) -> None:
+        """Raise if the rows ``left`` of a table lack one that another table's rows refer to."""
+        for child, rule in self._children(name) if self.enforce else []:
+            rows = left if child == name else self.catalog.read(child)
+            keys = left.select(*(F.col(quote_name(n)).alias(m) for n, m in zip(rule["others"], rule["columns"], strict=True)))
+            if not rows.select(*(quote_name(n) for n in rule["columns"])).dropna().join(keys, rule["columns"], "left_anti").isEmpty():
+                raise ConstraintError(f"rows of {child} refer to a row of {name}")
+
     def _do_truncate(self, c: Cursor) -> ExecResult:
         c.take("TABLE")
         t = self.catalog.table(c.name())
@@ -597,8 +682,7 @@ class Engine:
         target = string_value(c.next()).rstrip("/")
         if self.catalog.files.exists(target):
             raise DialectError(f"{target} exists")
-        self.catalog.vacuum()
-        self.catalog.files.copy(self.catalog.root, target)
+        self.catalog.files.copy(self.catalog.root, target)  # nothing in it is deleted, so another writer's files are safe
         return ExecResult(message=f"Backup written to {target}")
 
     def _do_restore(self, c: Cursor) -> ExecResult:
@@ -608,9 +692,19 @@ class Engine:
         old = f"{self.catalog.root}.before-{uuid.uuid4().hex}"
         if not self.catalog.files.is_dir(source):
             raise DialectError(f"{source} does not exist")
+        fresh = f"{self.catalog.root}.restored-{uuid.uuid4().hex}"
+        try:
+            self.catalog.files.copy(source, fresh)
+        except Exception:
+            self.catalog.files.delete(fresh)
+            raise
         self.close()
         self.catalog.files.rename(self.catalog.root, old)
-        self.catalog.files.copy(source, self.catalog.root)
+        try:
+            self.catalog.files.rename(fresh, self.catalog.root)
+        except Exception:
+            self.catalog.files.rename(old, self.catalog.root)
+            raise
         self.catalog.files.delete(old)
         self.use(self.database)
         return ExecResult(message=f"Restored from {source}")

@@ -10,6 +10,7 @@ import re
 import sqlite3
 from collections.abc import Iterator
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -136,7 +137,7 @@ def import_dump(engine: Engine, text: str) -> dict[str, int]:
         try:
             engine._statement(_without_table_options(tokens), None)
             counts["done"] += 1
-        except (DialectError, KeyError):
+        except (ValueError, KeyError, PySparkException):  # a bad row or statement does not end the import
             counts["failed"] += 1
     return counts
 

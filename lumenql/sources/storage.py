@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -58,6 +59,22 @@ class Files:
         finally:
             stream.close()
 
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        p, fs = self._at(path)
+        return (self.jvm.java.lang.System.currentTimeMillis() - fs.getFileStatus(p).getModificationTime()) / 1000
+
+    def claim(self, path: str) -> bool:
+        """Create an empty file; False if it is there already, whoever made it."""
+        p, fs = self._at(path)
+        try:
+            fs.create(p, False).close()
+        except Py4JJavaError:
+            if fs.exists(p):
+                return False
+            raise
+        return True
+
     def write(self, path: str, content: bytes) -> None:
         p, fs = self._at(path)
         stream = fs.create(p, True)
