@@ -66,7 +66,7 @@ def byte_symbols() -> dict[str, int]:
 class PairIndexEncoder:
     """Encodes and decodes with one vocabulary; ``kept`` bounds the bytes of the cache of encoded words, ids and all."""
 
-    def __init__(self, spec: str, kept: int = 48 << 20):
+    def __init__(self, spec: str, kept: int = 96 << 20):
         model, symbols = json.loads(spec), byte_symbols()
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in merges]

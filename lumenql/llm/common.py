@@ -103,31 +103,45 @@ def released() -> None:
         pass
 
 
-def map_texts(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., dict]], schema: str) -> DataFrame:
-    """Run ``make()`` once a task and its result on the lists of ``columns`` of each Arrow batch.
+def sliced(batch: pa.RecordBatch, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and, unless one row is larger, about ``size`` bytes."""
+    rows = max(1, min(rows, rows if batch.nbytes <= size else size * batch.num_rows // batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
-    Batches are bounded in rows and bytes by the session, so very long texts come in small batches.
-    The function returns the output columns as lists or arrays, of any common length. Its ``finish``,
-    if it has one, gives last rows; its ``close`` frees what a worker should not hold after the task.
-    """
-    out = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(out)
+def mapper(columns: int, make: Callable[[], Callable[..., dict]], arrow: pa.Schema, rows: int | None) -> Callable:
+    """The function over the Arrow batches of one task that ``map_texts`` runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
+        step, part = make(), None
         for batch in batches:
-            got = step(*(batch.column(i).to_pylist() for i in range(len(columns))))
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in zip(arrow, (got[f.name] for f in arrow), strict=True)], schema=arrow)
+            for part in sliced(batch, rows) if rows else (batch,):
+                got = step(*(part.column(i).to_pylist() for i in range(columns)))
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in zip(arrow, (got[f.name] for f in arrow), strict=True)], schema=arrow)
         if last := getattr(step, "finish", None):
             got = last()
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
         if close := getattr(step, "close", None):
             close()
+        step = last = close = batch = part = got = None
         released()
 
-    return df.select(*columns).mapInArrow(run, out)
+    return run
+
+
+def map_texts(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., dict]], schema: str, rows: int | None = 1000) -> DataFrame:
+    """Run ``make()`` once a task and its result on the lists of ``columns`` of each slice of an Arrow batch.
+
+    Slices have ``rows`` rows and about 4 MB at most, so that a worker holds little at once; None leaves
+    batches as the session bounds them. The function returns the output columns as lists or arrays, of
+    any common length. Its ``finish``, if it has one, gives last rows; its ``close`` frees what a worker
+    should not hold after the task.
+    """
+    out = df.sparkSession.createDataFrame([], schema).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return df.select(*columns).mapInArrow(mapper(len(columns), make, to_arrow_schema(out), rows), out)
 
 
 def bounded_sample(labelled: DataFrame, limit: int) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_texts, released, sliced
+
 WINDOW, MISSES, WEIGHT, LEAST = 13, 2, 6, 8
 BLOCK = 20_000
 PAIRS = 1 << 22
@@ -162,8 +164,6 @@ def blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str | N
 
 def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, matched, item_words, start: a row for each document and item it contains."""
-    from .common import map_texts
-
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     parts = []
     for items in blocks(benchmark.where("item_id is not null"), block):
@@ -192,8 +192,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
 
         def run(batches, shared=shared):
             index = SeedIndex(shared.value)
-            for b in batches:
-                yield b.filter(pa.array([not index.search(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            for batch in batches:
+                for b in sliced(batch, 1000):
+                    yield b.filter(pa.array([not index.search(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            index = batch = b = None
+            released()
 
         out = out.mapInArrow(run, schema)
     return out

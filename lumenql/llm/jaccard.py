@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts
+from .common import Scratch, map_texts, released
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -192,7 +192,7 @@ def buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 cid = class_key(x)
                 if cid in done:
                     continue
-                if len(done) > 500_000:
+                if len(done) > 100_000:
                     done.clear()
                 done.add(cid)
                 s = signatures(x, bands)
@@ -229,6 +229,8 @@ def buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 yield got
         if held.shape[1]:
             yield shown(held, True)[0]
+        held = rows = got = b = None
+        released()
 
     return signed.repartition(n, "sig").sortWithinPartitions("sig", "cid").mapInArrow(runs, "sig long, cid long")
 
@@ -259,7 +261,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 25)
                 cid = class_key(x)
                 at = (cid & (2**64 - 1)) >> (64 - bits)
                 if cid not in done and shared.value[at >> 6] >> np.uint64(at & 63) & np.uint64(1):
-                    if len(done) > 500_000:
+                    if len(done) > 100_000:
                         done.clear()
                     done.add(cid)
                     cids.append(cid)

@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, released
+from .common import map_texts, released, sliced
 
 BUCKETS = 1 << 15
 
@@ -182,11 +182,13 @@ def accepted(docs: DataFrame, model: MixtureModel, least_share: float) -> DataFr
 
     def run(batches):
         m = MixtureModel(*shared.value)
-        for b in batches:
-            found = [(m.infer(t) or [(None, 0.0)])[0] for t in b.column(text).to_pylist()]
-            filled = pa.compute.coalesce(b.column(lang), pa.array([name for name, _ in found], b.schema.field(lang).type))
-            out = pa.RecordBatch.from_arrays([filled if i == lang else c for i, c in enumerate(b.columns)], schema=b.schema)
-            yield out.filter(pa.array([share > 0 and share >= least_share for _, share in found], pa.bool_()))
+        for batch in batches:
+            for b in sliced(batch, 1000):
+                found = [(m.infer(t) or [(None, 0.0)])[0] for t in b.column(text).to_pylist()]
+                filled = pa.compute.coalesce(b.column(lang), pa.array([name for name, _ in found], b.schema.field(lang).type))
+                out = pa.RecordBatch.from_arrays([filled if i == lang else c for i, c in enumerate(b.columns)], schema=b.schema)
+                yield out.filter(pa.array([share > 0 and share >= least_share for _, share in found], pa.bool_()))
+        m = batch = b = found = filled = out = None
         released()
 
     return docs.mapInArrow(run, docs.schema)
