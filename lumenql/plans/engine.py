@@ -40,7 +40,11 @@ def _customers(spark: SparkSession, sf_dir: str) -> Engine:
 
 @query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, rpad(c_mktsegment, 12, ' ') AS segment FROM customer")
 def dml_insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customers(spark, sf_dir).execute("SELECT * FROM cust")
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    e = _engine(spark)
+    e.execute(_CUSTOMERS)
+    e.execute("INSERT INTO cust SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+    return e.execute("SELECT * FROM cust")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN c_acctbal * 2 ELSE c_acctbal END AS balance, CASE WHEN c_acctbal < 0 THEN upper(c_name) ELSE c_name END AS name FROM customer")
@@ -100,21 +104,21 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark).execute("SELECT n_nationkey FROM nation WHERE n_name = ? OR n_nationkey > $2", ["FRANCE", 20])
 
 
-@query()
+@query("SELECT * FROM (VALUES ('cust', 'id', 'int', 'PRI'), ('cust', 'name', 'varchar', ''), ('cust', 'balance', 'float', ''), ('cust', 'segment', 'char', '')) AS t(TABLE_NAME, COLUMN_NAME, DATA_TYPE, COLUMN_KEY)")
 def info_schema_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _engine(spark)
     e.execute(_CUSTOMERS)
     return e.execute("SELECT TABLE_NAME, COLUMN_NAME, DATA_TYPE, COLUMN_KEY FROM information_schema.COLUMNS ORDER BY ORDINAL_POSITION")
 
 
-@query()
+@query("SELECT 'cust' AS Tables_in_main, 'BASE TABLE' AS Table_type")
 def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _engine(spark)
     e.execute(_CUSTOMERS)
     return e.execute("SHOW FULL TABLES")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('id', 'INT', 'NO', 'PRI', NULL), ('name', 'VARCHAR(50)', 'NO', '', NULL), ('balance', 'FLOAT', 'YES', '', NULL), ('segment', 'CHAR(12)', 'YES', '', chr(39) || 'NONE' || chr(39))) AS t("Field", "Type", "Null", "Key", "Default")""")
 def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _engine(spark)
     e.execute(_CUSTOMERS)
