@@ -1,22 +1,25 @@
 """Exact Jaccard join on word-shingle sets by universe partition and the pigeonhole principle.
 
 Sets are banded by size so that similar sets lie in one band or in neighbouring ones; a set signs
-its own band and the next. Within a band two similar sets differ in at most H tokens. Tokens are
-hashed into m = H + 1 + s segments, so s + 1 segments at least agree wholly, and a signature of
-each non-empty segment subset finds every pair of which one set has at most s empty segments.
+its own band and, if it may have partners there, the next. Within a band two similar sets differ in
+at most H tokens. Tokens are hashed into m = H + 1 + s segments. A set of n tokens differs from its
+own partners in h <= H tokens, so of the first h + 1 + s segments at least s + 1 agree wholly, and a
+signature of each non-empty one of these finds every pair of which one set has at most s of them
+empty. That is why bands can be wide: a set signs by its own size, not by the band's greatest.
 Empty segments are never signed (they agree among strangers). Sets with more of them are rare;
-among themselves they are found by one-deletion neighbourhoods of their segments (two subsets that
-differ by one token share a key), and the emptiest also by the tokens of a prefix, which closes
-the last gap. The split of the budget H + 1 between whole segments and one-deletions is chosen a
-band by cost: s minimises the expected number of signatures.
+among themselves they are found by one-deletion neighbourhoods of all their segments (two subsets
+that differ by one token share a key), and the emptiest also by the tokens of a prefix, which closes
+the last gap. The split of the budget between whole segments and one-deletions is chosen a band by
+cost: s minimises the expected number of signatures.
 
 Equal sets are one class first, by 128-bit set hashes, however many copies there are. Signatures
 are sorted within hash partitions and read as a stream; only shared ones go on. The members of a
 bucket are compared with the one of the highest standing (the size of all its buckets), which in a
 group of edited copies is the original, for a few rounds of components. Then every pair of a bucket
 that is still in different components is compared, behind a filter inside the join: sizes, and
-1,024-bit parity sketches that bound the difference of two sets from below. Candidates are verified
-on the whole sets. So no pair inside a component is ever built, and none is missed.
+1,024-bit parity sketches that bound the difference of two sets from below. Only classes of a pair
+that passes this filter have their whole sets fetched, and the pair is verified on these. So no pair
+inside a component is ever built, and none is missed.
 
 Defined results: the empty set (null, empty or blank text) links with nothing. Null ids are never
 a component's name; a null-id row that links with no other has a null component. Repeated rows are
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, released
+from .common import Scratch, bits_for, hash_bits, map_texts, may_occur, released
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -99,7 +102,10 @@ def class_key(x: np.ndarray) -> int:
 
 
 class Bands:
-    """Size bands and their segment counts for links of 100 * intersection >= percent * union."""
+    """Size bands and their segment counts for links of 100 * intersection >= percent * union.
+
+    A band reaches over the square of the least ratio of linked sizes.
+    """
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -107,9 +113,13 @@ class Bands:
 
     def band(self, n: int) -> int:
         while self.low[-1] <= n:
-            self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * 100 // self.percent)))
+            self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * 10_000 // self.percent**2)))
         return int(np.searchsorted(self.low, n, "right")) - 1
 
+    def apart(self, n: int, k: int) -> int:
+        """The most tokens in which a set of n tokens differs from a similar one, if neither is above band k."""
+        return (n + min(self.low[k + 1] - 1, n * 100 // self.percent)) * (100 - self.percent) // (100 + self.percent)
+
     @cache  # noqa: B019 - one object a process
     def shape(self, k: int) -> tuple[int, int]:
         """H, the largest difference of two similar sets of at most the band's size, and the spare segments s."""
@@ -117,23 +127,30 @@ class Bands:
             self.band(self.low[-1])
         low, high = self.low[k], self.low[k + 1] - 1
         most = 2 * high * (100 - self.percent) // (100 + self.percent)
+        sizes = {max(1, low * self.percent // 100), max(1, low * (100 + self.percent) // 200), low, (low + high) // 2, high}
+        factor = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 2)))])  # logarithms of factorials
 
         def cost(s: int) -> float:
-            """Expected signatures of a set of the band's least size: segments, and deletions where too many are empty."""
-            m = most + 1 + s
-            mean = m * (1 - 1 / m) ** low
-            fewer = sum(math.exp(-mean + i * math.log(max(mean, 1e-12)) - math.lgamma(i + 1)) for i in range(s + 1))
-            return m + max(0.0, 1 - fewer) * 1.3 * low
+            """Expected signatures a token over the sizes that sign the band: segments, and deletions where too many are empty."""
+            total, m, i = 0.0, most + 1 + s, np.arange(s + 1)
+            for n in sizes:
+                signed = self.apart(n, k) + 1 + s
+                empty = signed * (1 - 1 / m) ** n
+                fewer = float(np.exp(-empty + i * math.log(max(empty, 1e-12)) - factor[: s + 1]).sum())
+                total += (signed - empty + max(0.0, 1 - fewer) * 1.3 * n) / n
+            return total
 
-        return most, min(range(1, 2 + most // 4), key=cost, default=1)
+        tries = sorted({min(most // 2 + 1, max(j + 1, int(1.15**j))) for j in range(90)})
+        return most, min(tries, key=cost)
 
 
 def segment_keys(x: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     """All signatures of a set in a band."""
     most, spare = bands.shape(band)
-    if most == 0:
+    apart = bands.apart(len(x), band)
+    if apart == 0:
         return np.zeros(0, np.uint64)  # only equal sets can link, and those are one class
-    m, salt = most + 1 + spare, np.uint64((band * 0x10001 + 1) * int(_A) % 2**64)
+    m, signed, salt = most + 1 + spare, apart + 1 + spare, np.uint64((band * 0x10001 + 1) * int(_A) % 2**64)
     token = mix(x ^ salt)
     part = ((token >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     order = np.argsort(part, kind="stable")
@@ -141,14 +158,14 @@ def segment_keys(x: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     sums = np.add.reduceat(token, starts)
     label = mix(part[starts] + salt)
-    out = [mix(sums ^ label)]
-    empty = m - len(starts)
-    if empty > spare:
+    whole = int(np.searchsorted(part[starts], np.uint64(signed)))
+    out = [mix(sums[:whole] ^ label[:whole])]
+    if signed - whole > spare:
         deep = label ^ _B
         size = np.diff(np.append(starts, len(part)))
         shorter = np.repeat(sums, size) - token
         out += [mix(sums ^ deep), mix(shorter ^ np.repeat(deep, size))[np.repeat(size, size) > 1]]
-        if empty >= spare + 2:
+        if m - len(starts) >= spare + 2:
             keep = len(x) - -(-len(x) * bands.percent // 100) + 1
             out.append(mix(x[:keep] ^ (salt ^ np.uint64(2))))
     return np.unique(np.concatenate(out))
@@ -159,24 +176,28 @@ def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
     if not len(x):
         return np.zeros(0, np.uint64)
     k = bands.band(len(x))
-    bands.band(len(x) * 100 // bands.percent + 1)
-    out = [segment_keys(x, k, bands)]
-    if len(x) * 100 // bands.percent >= bands.low[k + 1]:
-        out.append(segment_keys(x, k + 1, bands))
-    return np.concatenate(out)
+    last = bands.band(len(x) * 100 // bands.percent)
+    return np.concatenate([segment_keys(x, j, bands) for j in range(k, last + 1)])
+
+
+def sketch(x: np.ndarray) -> np.ndarray:
+    """Parities of the token counts in SKETCH hash buckets: two sketches differ in no more bits than the sets differ in tokens."""
+    odd = np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, cid: the class of equal sets."""
+    """doc_id, n_shingles, cid: the class of equal sets; the set's sketch; h: the text's hash."""
 
     def make():
-        def step(ids, texts):
+        def step(ids, texts, hashes):
             sets = [shingles(t, width) for t in texts]
-            return {"doc_id": ids, "n_shingles": [len(x) for x in sets], "cid": [class_key(x) for x in sets]}
+            return {"doc_id": ids, "n_shingles": [len(x) for x in sets], "cid": [class_key(x) for x in sets], "sketch": [sketch(x) for x in sets], "h": hashes}
 
         return step
 
-    return map_texts(docs, ["doc_id", "text"], make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cid long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), ["doc_id", "text", "h"], make, f"doc_id {kind}, n_shingles long, cid long, sketch array<long>, h long")
 
 
 def buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -235,44 +256,32 @@ def buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return signed.repartition(n, "sig").sortWithinPartitions("sig", "cid").mapInArrow(runs, "sig long, cid long")
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 25) -> DataFrame:
-    """cid, tokens, sketch for the classes in ``wanted``.
-
-    A sketch holds the parities of the token counts in SKETCH hash buckets: two sketches differ in
-    no more bits than the sets differ in tokens.
+def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """cid, tokens for the classes in ``wanted`` (cid, h), where h is the hash of one of the class's texts.
 
-    A bitmap of 2**bits bits (4 MB, whatever the corpus) spares most texts the way through the
-    exchange; the join behind it is exact.
+    A bitmap of the hashes spares most texts the way to Python; the join behind it is exact.
     """
-    word = F.shiftrightunsigned("cid", 64 - bits + 6).alias("word")
-    bit = F.shiftrightunsigned("cid", 64 - bits).bitwiseAND(F.lit(63)).cast("int").alias("bit")
-    marks = wanted.select(word, bit).distinct().groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[marks["word"].to_numpy()] = marks["bits"].to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    bits = bits_for(wanted.count())
+    texts = docs.select("text", F.xxhash64("text").alias("h")).where(may_occur(F.col("h"), hash_bits(wanted.select("h"), bits), bits))
 
     def make():
         done: set[int] = set()
 
-        def step(texts):
-            cids, sets, marks = [], [], []
-            for t in texts:
-                x = shingles(t, width)
-                cid = class_key(x)
-                at = (cid & (2**64 - 1)) >> (64 - bits)
-                if cid not in done and shared.value[at >> 6] >> np.uint64(at & 63) & np.uint64(1):
+        def step(texts, hashes):
+            cids, sets = [], []
+            for t, h in zip(texts, hashes, strict=True):
+                if h not in done:
                     if len(done) > 100_000:
                         done.clear()
-                    done.add(cid)
-                    cids.append(cid)
+                    done.add(h)
+                    x = shingles(t, width)
+                    cids.append(class_key(x))
                     sets.append(x.view(np.int64))
-                    odd = np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-                    marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            return {"cid": cids, "tokens": sets, "sketch": marks}
+            return {"cid": cids, "tokens": sets}
 
         return step
 
-    found = map_texts(docs, ["text"], make, "cid long, tokens array<long>, sketch array<long>").join(wanted.hint("merge"), "cid", "left_semi")
+    found = map_texts(texts, ["text", "h"], make, "cid long, tokens array<long>").join(wanted.select("cid").hint("merge"), "cid", "left_semi")
     return found.dropDuplicates(["cid"])
 
 
@@ -283,15 +292,10 @@ def may_link(n: tuple[Column, Column], sketch: tuple[Column, Column], percent: i
     return near & (apart * (100 + percent) <= (n[0] + n[1]) * (100 - percent))
 
 
-def outlines(sets: DataFrame) -> DataFrame:
-    """cid, n, sketch: what is known of a set without its tokens."""
-    return sets.select("cid", F.size("tokens").alias("n"), "sketch")
-
-
-def promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def promising(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow."""
-    left = outlines(sets).toDF("a", "n_a", "sketch_a")
-    right = outlines(sets).toDF("b", "n_b", "sketch_b")
+    known = outlines.select("cid", "n", "sketch")
+    left, right = known.toDF("a", "n_a", "sketch_a"), known.toDF("b", "n_b", "sketch_b")
     joined = pairs.join(left, "a").join(right, "b")
     return joined.where(may_link((F.col("n_a"), F.col("n_b")), (F.col("sketch_a"), F.col("sketch_b")), percent)).select("a", "b")
 
@@ -321,8 +325,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def linked(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame | None:
-    """cid, comp for all classes that link with another one; None if there are none."""
+def linked(docs: DataFrame, rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    """cid, comp for all classes of ``rows`` that link with another one; None if there are none."""
     found = scratch.keep("buckets", buckets(docs, width, percent))
     if found.isEmpty():
         return None
@@ -331,31 +335,41 @@ def linked(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataF
     members = scratch.keep("plain", found.join(slim, "sig"))
     scratch.drop("buckets")
     standing = members.groupBy("cid").agg(F.sum("n").alias("standing"))  # an original shares more with its edited copies than they do with each other
-    sets = scratch.keep("sets", wanted_sets(docs, standing.select("cid"), width))
-    members = scratch.keep("members", members.join(standing, "cid").select("sig", "cid", "standing"))
+    known = rows.select("cid", F.col("n_shingles").alias("n"), "sketch", "h").dropDuplicates(["cid"])
+    outlines = scratch.keep("outlines", known.join(standing.select("cid"), "cid", "left_semi"))
+    members = scratch.keep("members", members.join(standing, "cid").select("sig", "n", "cid", "standing"))
     scratch.drop("plain")
-    labels, edges, tried = None, None, None
+    labels, edges, tried, sets = None, None, None, None
     for k in range(_STAR_ROUNDS + 1):
-        marked = members.withColumn("comp", F.col("cid")) if labels is None else members.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        left = members.drop("n") if k == 0 else members.where("n > 2").drop("n")  # two members have been compared
+        marked = left.withColumn("comp", F.col("cid")) if labels is None else left.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         mixed = marked.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("cid", "standing").alias("head"), F.max_by("comp", "standing").alias("main")).where("low < high").drop("low", "high")
         mixed = scratch.keep("mixed", mixed)  # written, so that adaptive execution can split the joins with hot buckets
         if k < _STAR_ROUNDS:  # all members against the bucket's member of the highest standing
             rest = marked.join(mixed.select("sig", "head", "main"), "sig").where("comp <> main")
             pairs = rest.select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
         else:  # all that is still apart and that sizes and sketches allow
-            apart = marked.join(mixed.select("sig"), "sig").join(outlines(sets), "cid").select("sig", "cid", "comp", "n", "sketch")
+            apart = marked.join(mixed.select("sig"), "sig").join(outlines, "cid").select("sig", "cid", "comp", "n", "sketch")
             apart = scratch.keep("apart", apart)
             one, other = apart.toDF("sig", "a", "comp_a", "n_a", "sketch_a"), apart.toDF("sig", "b", "comp_b", "n_b", "sketch_b")
             pairs = one.join(other, (one["sig"] == other["sig"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & may_link((F.col("n_a"), F.col("n_b")), (F.col("sketch_a"), F.col("sketch_b")), percent)).select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        fresh = scratch.keep("fresh", pairs if k == _STAR_ROUNDS else promising(pairs, sets, percent))
+        fresh = scratch.keep("fresh", pairs if k == _STAR_ROUNDS else promising(pairs, outlines, percent))
+        need = fresh.select(F.col("a").alias("cid")).union(fresh.select("b")).distinct()
+        need = need if sets is None else need.join(sets.select("cid"), "cid", "left_anti")
+        need = scratch.keep("need", need.join(outlines.select("cid", "h"), "cid"))
+        if not need.isEmpty():
+            more = scratch.keep(f"sets-{k}", token_sets(docs, need, width))
+            sets = more if sets is None else sets.union(more)
+        if sets is None:
+            continue  # no pair so far
         new = scratch.keep("new", verified(fresh, sets, percent))
         tried = scratch.keep("tried", fresh if tried is None else tried.union(fresh))
         if not new.isEmpty():
             edges = scratch.keep("edges", new if edges is None else edges.union(new))
             labels = components(edges, scratch, "round")
-    scratch.drop("members", "sets", "tried", "apart", "fresh", "new", "edges", "mixed")
+    scratch.drop("members", "outlines", "need", "tried", "apart", "fresh", "new", "edges", "mixed", *(f"sets-{k}" for k in range(_STAR_ROUNDS + 1)))
     return labels
 
 
@@ -363,7 +377,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     """doc_id, n_shingles, component_id of each row."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.keep("classes", classes(docs, width))
-    labels = linked(docs, width, percent, scratch)
+    labels = linked(docs, rows, width, percent, scratch)
+    rows = rows.drop("sketch", "h")
     if labels is None:
         rows = rows.withColumn("comp", F.col("cid"))
     else:

@@ -114,20 +114,21 @@ def test_jaccard_brute_force(spark, seed, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows, 4, percent)
 
 
-def test_signatures_meet_where_sets_link():
-    """Any two linking sets share a signature, small and sparse ones included."""
-    rng, bands, met = np.random.default_rng(5), jaccard.Bands(85), 0
-    for _ in range(3000):
-        n = int(rng.integers(1, 120))
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_signatures_meet_where_sets_link(percent):
+    """Any two linking sets share a signature: small and sparse ones, and ones whose sizes are as far apart as may be."""
+    rng, bands, met = np.random.default_rng(5), jaccard.Bands(percent), 0
+    for k in range(3000):
+        n = int(rng.integers(1, (30, 120, 600)[k % 3]))
         x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        cut = int(rng.integers(0, 1 + n // 8))
-        y = np.concatenate([x[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 10)), dtype=np.uint64)])
-        x, y = np.unique(x), np.unique(y)
+        kept = x[int(rng.integers(0, n * (100 - percent) // 100 + 1)) :]
+        room = max(0, len(kept) * 100 // percent - n)
+        more = room if rng.random() < 0.5 else int(rng.integers(0, room + 1))
+        x, y = np.unique(x), np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
         both = len(np.intersect1d(x, y))
-        if both < max(len(x), len(y)) or len(x) != len(y):
-            if len(y) and 100 * both >= 85 * (len(x) + len(y) - both):
-                met += 1
-                assert len(np.intersect1d(jaccard.signatures(x, bands), jaccard.signatures(y, bands)))
+        if not np.array_equal(x, y) and 100 * both >= percent * (len(x) + len(y) - both):
+            met += 1
+            assert len(np.intersect1d(jaccard.signatures(x, bands), jaccard.signatures(y, bands)))
     assert met > 500
 
 
