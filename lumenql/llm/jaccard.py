@@ -4,10 +4,11 @@ Sets are banded by size so that similar sets lie in one band or in neighbouring
 its own band and, if it may have partners there, the next. Within a band two similar sets differ in
 at most H tokens. Tokens are hashed into m = H + 1 + s segments. A set of n tokens differs from its
 own partners in h <= H tokens, so of the first h + 1 + s segments at least s + 1 agree wholly, and a
-signature of each non-empty one of these finds every pair of which one set has at most s of them
-empty. That is why bands can be wide: a set signs by its own size, not by the band's greatest.
-Empty segments are never signed (they agree among strangers). Sets with more of them are rare;
-among themselves they are found by one-deletion neighbourhoods of all their segments (two subsets
+signature of each one of these with two tokens or more finds every pair of which one set has at most
+s lighter ones: a set signs by its own size, not by the band's greatest.
+Light segments are not signed so: empty ones agree among strangers, and those of one token agree
+wherever two texts share a phrase, ever more often as the corpus grows. Sets with more of them are
+rare; among themselves they are found by one-deletion neighbourhoods of all their segments (two subsets
 that differ by one token share a key), and the emptiest also by the tokens of a prefix, which closes
 the last gap. The split of the budget between whole segments and one-deletions is chosen a band by
 cost: s minimises the expected number of signatures.
@@ -102,10 +103,7 @@ def class_key(x: np.ndarray) -> int:
 
 
 class Bands:
-    """Size bands and their segment counts for links of 100 * intersection >= percent * union.
-
-    A band reaches over the square of the least ratio of linked sizes.
-    """
+    """Size bands and their segment counts for links of 100 * intersection >= percent * union."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -113,7 +111,7 @@ class Bands:
 
     def band(self, n: int) -> int:
         while self.low[-1] <= n:
-            self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * 10_000 // self.percent**2)))
+            self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * 100 // self.percent)))
         return int(np.searchsorted(self.low, n, "right")) - 1
 
     def apart(self, n: int, k: int) -> int:
@@ -128,19 +126,19 @@ class Bands:
         low, high = self.low[k], self.low[k + 1] - 1
         most = 2 * high * (100 - self.percent) // (100 + self.percent)
         sizes = {max(1, low * self.percent // 100), max(1, low * (100 + self.percent) // 200), low, (low + high) // 2, high}
-        factor = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 2)))])  # logarithms of factorials
+        factor = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 3)))])  # logarithms of factorials
 
         def cost(s: int) -> float:
-            """Expected signatures a token over the sizes that sign the band: segments, and deletions where too many are empty."""
+            """Expected signatures a token over the sizes that sign the band: segments, and deletions where too many are light."""
             total, m, i = 0.0, most + 1 + s, np.arange(s + 1)
             for n in sizes:
                 signed = self.apart(n, k) + 1 + s
-                empty = signed * (1 - 1 / m) ** n
-                fewer = float(np.exp(-empty + i * math.log(max(empty, 1e-12)) - factor[: s + 1]).sum())
-                total += (signed - empty + max(0.0, 1 - fewer) * 1.3 * n) / n
+                light = signed * ((1 - 1 / m) ** n + n / m * (1 - 1 / m) ** (n - 1))
+                fewer = float(np.exp(-light + i * math.log(max(light, 1e-12)) - factor[: s + 1]).sum())
+                total += (signed - light + max(0.0, 1 - fewer) * 1.3 * n) / n
             return total
 
-        tries = sorted({min(most // 2 + 1, max(j + 1, int(1.15**j))) for j in range(90)})
+        tries = sorted({min(most + 1, max(j + 1, int(1.15**j))) for j in range(90)})
         return most, min(tries, key=cost)
 
 
@@ -158,11 +156,11 @@ def segment_keys(x: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     sums = np.add.reduceat(token, starts)
     label = mix(part[starts] + salt)
-    whole = int(np.searchsorted(part[starts], np.uint64(signed)))
-    out = [mix(sums[:whole] ^ label[:whole])]
-    if signed - whole > spare:
+    size = np.diff(np.append(starts, len(part)))
+    whole = (size > 1) & (part[starts] < signed)
+    out = [mix(sums[whole] ^ label[whole])]
+    if signed - np.count_nonzero(whole) > spare:
         deep = label ^ _B
-        size = np.diff(np.append(starts, len(part)))
         shorter = np.repeat(sums, size) - token
         out += [mix(sums ^ deep), mix(shorter ^ np.repeat(deep, size))[np.repeat(size, size) > 1]]
         if m - len(starts) >= spare + 2:
