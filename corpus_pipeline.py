@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenql.llm import bpe, decontaminate, jaccard, langid, linededup
-from lumenql.llm.common import Scratch, table
+from lumenql.llm.common import Scratch, bits_for, hash_bits, may_occur, table
 from lumenql.llm.queries import tokenizer
 
 LEAST_SHARE = 0.4  # a document goes if no language has this share of it
@@ -36,8 +36,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, the smallest id, of each component of the Jaccard join over shingles of five words, at 0.8 or more."""
     scratch = Scratch(spark, "nearduplicates")
     found = scratch.keep("found", jaccard.jaccard_components(docs.select("doc_id", "text"), SHINGLE, SIMILAR))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = scratch.keep("gone", found.where("doc_id <> component_id").select("doc_id").distinct())
+    bits = bits_for(gone.count())
+    occurs = scratch.keep("bits", hash_bits(gone.select(F.xxhash64("doc_id").alias("h")), bits))
+    may = may_occur(F.xxhash64("doc_id"), occurs, bits)  # only documents that may go take part in the exact join with its exchange of texts
+    kept = docs.where(~may).unionByName(docs.where(may).join(gone.hint("merge"), "doc_id", "left_anti"))
     twice = scratch.keep("twice", found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     if not twice.isEmpty():
         again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
