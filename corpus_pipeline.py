@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``docs``. ``run`` writes each stage's result to the shared folder and reads it again.
+A stage begins with executors that have given back the heap of the stages before it.
 
 Defined results: rows without an id are never near duplicates of others; rows that repeat id and
 text leave one; a document whose text was wholly repeated lines goes; a null text has no language.
@@ -9,22 +10,38 @@ text leave one; a document whose text was wholly repeated lines goes; a null tex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenql.llm import bpe, decontaminate, jaccard, langid, linededup
-from lumenql.llm.common import Scratch, bits_for, hash_bits, may_occur, table
+from lumenql.llm.common import Scratch, bits_for, hash_bits, may_occur, table, trim_executors
 from lumenql.llm.queries import tokenizer
 
 LEAST_SHARE = 0.4  # a document goes if no language has this share of it
 SHINGLE, SIMILAR = 5, 80  # words of a shingle, and per cent of Jaccard similarity from which documents are near copies
 
 
+def trimmed(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, after the executors' heaps are trimmed: they would else stay as large as any stage before has grown them."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        trim_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@trimmed
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the mixture model learns from every row that has a lang. Null langs are filled in."""
     return langid.accepted(docs, langid.fit(docs), LEAST_SHARE)
 
 
+@trimmed
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; n_chars follows the text."""
     out = linededup.dedup_lines(docs, counts=("__n_lines", "__n_deleted")).where("__n_deleted = 0 or text <> ''")
@@ -32,6 +49,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.select(*(size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
+@trimmed
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each component of the Jaccard join over shingles of five words, at 0.8 or more."""
     scratch = Scratch(spark, "nearduplicates")
@@ -48,11 +66,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@trimmed
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@trimmed
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids."""
     return bpe.digest(docs, tokenizer("byte_bpe_50k.json"), with_ids=True)

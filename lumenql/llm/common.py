@@ -103,6 +103,12 @@ def released() -> None:
         pass
 
 
+def trim_executors(spark: SparkSession) -> None:
+    """Have every executor collect its garbage and give the heap that earlier queries grew back to the system, beside the Python workers of what follows."""
+    n = 2 * spark.sparkContext.defaultParallelism  # full collections last long enough that all cores get some; an executor missed keeps what it holds
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def sliced(batch: pa.RecordBatch, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most ``rows`` rows and, unless one row is larger, about ``size`` bytes."""
     rows = max(1, min(rows, rows if batch.nbytes <= size else size * batch.num_rows // batch.nbytes))

@@ -1,5 +1,6 @@
 """Operators over the whole corpus: line runs, Jaccard components, language models, and the pipeline."""
 
+import gc
 import math
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenql.llm import jaccard, linededup, lmscore, queries
-from lumenql.llm.common import table
+from lumenql.llm.common import table, trim_executors
 
 from .conftest import BLOCK
 
@@ -243,6 +244,20 @@ def test_near_duplicates_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def test_stages_begin_with_trimmed_heaps(spark, monkeypatch):
+    jvm = spark._jvm
+    jvm.java.nio.ByteBuffer.allocate((1 << 30) - 1)  # garbage, for which the heap grows
+    gc.collect()
+    grown = jvm.java.lang.Runtime.getRuntime().totalMemory()
+    trim_executors(spark)
+    assert jvm.java.lang.Runtime.getRuntime().totalMemory() < max(grown, 1 << 30)
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "trim_executors", calls.append)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, table(spark, SF, "documents").limit(20), SF)
+    assert calls == [spark] * len(corpus_pipeline.STAGES)
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and len({r["doc_id"] for r in rows}) == len(rows) and all(len(r["token_ids"]) == r["n_tokens"] for r in rows)
