@@ -159,13 +159,15 @@ class Engine:
             rows.write.option("header", True).csv(path) if path.endswith(".csv") else rows.write.parquet(path)
             return rows
         views: list[str] = []
-        tokens, tables = self._searched(self._schema_views(tokens, views), views)
-        with lenient(self.spark):
-            text = Rewriter(self._matcher(tables, views), self.variables, self.host).rewrite(tokens)
-            out = self.spark.sql(text)
-            out.schema  # noqa: B018
-        for view in views:  # the plan holds what they stood for
-            self.spark.catalog.dropTempView(view)
+        try:
+            tokens, tables = self._searched(self._schema_views(tokens, views), views)
+            with lenient(self.spark):
+                text = Rewriter(self._matcher(tables, views), self.variables, self.host).rewrite(tokens)
+                out = self.spark.sql(text)
+                out.schema  # noqa: B018
+        finally:
+            for view in views:  # the plan holds what they stood for
+                self.spark.catalog.dropTempView(view)
         return out.drop(ROWID) if views and ROWID in out.columns else out
 
     def _table_names(self, tokens: list[Token]) -> list[tuple[int, str, str, bool]]:
@@ -385,16 +387,18 @@ class Engine:
         has_files = bool(self.catalog.table(name).files)
         self.catalog.read(name).withColumn("__file", F.col("_metadata.file_path") if has_files else F.lit("")).createOrReplaceTempView(view)
         views = [view]
-        text = Rewriter(self._matcher({name: name}, views), self.variables).rewrite(condition) if condition else "true"
-        found = self.spark.sql(f"SELECT {ROWID}, __file FROM {view} AS {quote_name(name)} WHERE {text}")
-        if limit is not None:
-            found = found.orderBy(ROWID).limit(limit)
-        found = self._staged(found)
+        try:
+            text = Rewriter(self._matcher({name: name}, views), self.variables).rewrite(condition) if condition else "true"
+            found = self.spark.sql(f"SELECT {ROWID}, __file FROM {view} AS {quote_name(name)} WHERE {text}")
+            if limit is not None:
+                found = found.orderBy(ROWID).limit(limit)
+            found = self._staged(found)
+        finally:
+            for v in views:
+                self.spark.catalog.dropTempView(v)
         counts = {r[0]: r[1] for r in found.groupBy("__file").count().collect()}  # a row a data file
         names = {"/".join(k.rsplit("/", 2)[1:]) for k in counts}
         touched = [f for f in self.catalog.table(name).files if f.split("/", 1)[1] in names]
-        for v in views:
-            self.spark.catalog.dropTempView(v)
         return found.select(ROWID), touched, sum(counts.values())
 
     def _tail(self, c: Cursor) -> tuple[list[Token], int | None]:
@@ -440,7 +444,10 @@ class Engine:
             view = f"__old_{uuid.uuid4().hex}"
             keys = {m for _, rule in self._children(t.name) for m in rule["others"]}
             self.catalog.read(t.name, touched).join(hits.withColumn("__hit", F.lit(True)), ROWID, "left").createOrReplaceTempView(view)
-            new = self.spark.sql(f"SELECT {ROWID}, coalesce(__hit, false) AS __hit, {', '.join(f'CASE WHEN __hit THEN {changes[x.name]} ELSE {quote_name(x.name)} END AS {quote_name(x.name)}' if x.name in changes else quote_name(x.name) for x in t.columns)} FROM {view} AS {quote_name(t.name)}")
+            try:
+                new = self.spark.sql(f"SELECT {ROWID}, coalesce(__hit, false) AS __hit, {', '.join(f'CASE WHEN __hit THEN {changes[x.name]} ELSE {quote_name(x.name)} END AS {quote_name(x.name)}' if x.name in changes else quote_name(x.name) for x in t.columns)} FROM {view} AS {quote_name(t.name)}")
+            finally:  # the plan holds what the view stood for
+                self.spark.catalog.dropTempView(view)
             changed = new.where("__hit")
             self._check_lengths(t, changed, list(changes))
             for x in t.columns:
@@ -453,7 +460,6 @@ class Engine:
             if keys & set(changes):
                 rest = self.catalog.read(t.name, [f for f in t.files if f not in set(touched)])
                 self._keep_parents(t.name, new.drop("__hit").unionByName(rest))
-            self.spark.catalog.dropTempView(view)
             self._replace(t, touched, new.drop("__hit"))
         else:
             self._drop_staged()

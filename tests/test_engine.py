@@ -125,6 +125,16 @@ def test_match_names_its_table(users):
     assert not [v for v in users.spark.catalog.listTables() if v.name.startswith("__")]
 
 
+def test_failed_statements_leave_no_views(users):
+    users.execute("CREATE TABLE posts (uid INT, FOREIGN KEY (uid) REFERENCES users(id)); INSERT INTO posts VALUES (1)")
+    users.execute("CREATE FULLTEXT INDEX fn ON users(name)")
+    before = {v.name for v in users.spark.catalog.listTables()}
+    for sql in ("UPDATE users SET id = 50 WHERE id = 1", "UPDATE users SET age = nowhere WHERE id = 1", "DELETE FROM users WHERE nowhere = 1", "SELECT nowhere FROM users WHERE MATCH(name) AGAINST('alice')"):
+        with pytest.raises(Exception):  # noqa: B017
+            users.execute(sql)
+        assert {v.name for v in users.spark.catalog.listTables()} == before, sql
+
+
 def test_dumps_go_on_after_bad_rows(engine):
     dump = "CREATE TABLE d (id INT PRIMARY KEY, t VARCHAR(3)); INSERT INTO d VALUES (1, 'a'); INSERT INTO d VALUES (1, 'b'); INSERT INTO d VALUES (2, 'toolong'); INSERT INTO d VALUES (3, 'c')"
     assert importers.import_dump(engine, dump) == {"done": 3, "skipped": 0, "failed": 2}
