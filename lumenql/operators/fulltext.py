@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 
 #: A separator is anything but ASCII letters, digits, and characters beyond ASCII.
 SEPARATOR = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: What a text with a word has, in either case.
+ANY_WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
 BUCKETS = 64
+#: Postings that one task sorts and writes, about: the number of tasks follows the rows, not the session's shuffle partitions.
+SORTED_AT_ONCE = 2_000_000
 
 
 @dataclass
@@ -67,16 +71,22 @@ def _tagged(level: int, weight: float):
     return lambda w: F.struct(w.alias("term"), F.lit(level).alias("level"), F.lit(weight).alias("weight"))
 
 
+def _synonyms(word: Column, config: FtsConfig) -> Column:
+    table = F.create_map(*(x for k, v in config.synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
+    return F.coalesce(table[word], F.array().cast("array<string>"))
+
+
 def postings(rows: DataFrame, key: str, text: str, config: FtsConfig) -> DataFrame:
     """key, term, level, weight, pos for every token occurrence of every level."""
     each = rows.select(F.col(key), F.posexplode(words(F.col(text))).alias("pos", "word"))
+    if config.levels == (1,) and not config.synonyms:  # a word is its only posting
+        out = each.select(key, F.col("word").alias("term"), F.lit(1).alias("level"), F.lit(config.weights[1]).alias("weight"), "pos")
+        return out if config.positions else out.withColumn("pos", F.lit(None).cast("int"))
     made = []
     if 1 in config.levels:
         made.append(F.array(F.struct(F.col("word").alias("term"), F.lit(1).alias("level"), F.lit(config.weights[1]).alias("weight"))))
         if config.synonyms:
-            table = F.create_map(*(x for k, v in config.synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-            others = F.coalesce(table[F.col("word")], F.array().cast("array<string>"))
-            made.append(F.transform(others, _tagged(1, 0.9 * config.weights[1])))
+            made.append(F.transform(_synonyms(F.col("word"), config), _tagged(1, 0.9 * config.weights[1])))
     for level, size in ((2, 2), (3, 1)):
         if level in config.levels:
             parts = chunks(F.col("word"), size)
@@ -100,12 +110,44 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(BUCKETS)).cast("int")
 
 
-def build(rows: DataFrame, key: str, text: str, config: FtsConfig, path: str) -> None:
-    """Write postings and row statistics of ``rows`` below ``path``."""
+def row_stats(rows: DataFrame, key: str, text: str, config: FtsConfig, once: bool = False) -> DataFrame:
+    """key, distinct terms, and postings at most (n_terms, n_postings) of the rows that have any; counted in the row, no posting is made.
+
+    ``once``: no key repeats, so nothing is shuffled; else the words of a key's rows are put together.
+    """
+    per = rows.where(F.rlike(F.col(text).cast("string"), F.lit(ANY_WORD))).select(key, words(F.col(text)).alias("w"))  # a filter on n_terms would split every text twice
+    if not once:
+        per = per.groupBy(key).agg(F.flatten(F.collect_list("w")).alias("w"))
+    per = per.select(key, "w", F.array_distinct("w").alias("d"))
+    terms, most = [], F.lit(0)
+    chars = F.length(F.array_join("w", ""))
+    if 1 in config.levels:
+        terms.append(F.col("d"))
+        if config.synonyms:
+            terms.append(F.flatten(F.transform("d", lambda x: _synonyms(x, config))))
+        most = most + F.size("w") * (1 + max(map(len, config.synonyms.values()), default=0))
+    if 2 in config.levels:
+        terms.append(F.filter(F.flatten(F.transform("d", lambda x: chunks(x, 2))), lambda x: F.length(x) >= config.min_term))
+        most = most + F.ceil((chars + F.size("w")) / 2)
+    if 3 in config.levels:
+        terms.append(F.flatten(F.transform("d", lambda x: chunks(x, 1))))
+        most = most + chars
+    distinct = F.col("d") if config.levels == (1,) and not config.synonyms else F.array_distinct(F.concat(*terms))
+    out = per.select(key, F.size(distinct).cast("long").alias("n_terms"), most.cast("long").alias("n_postings"))
+    return out if 1 in config.levels else out.where("n_terms > 0")
+
+
+def build(rows: DataFrame, key: str, text: str, config: FtsConfig, path: str, once: bool = False, stored: Column | None = None) -> None:
+    """Write postings and row statistics of ``rows`` below ``path``.
+
+    ``once``: no key repeats. ``stored``: what is written for the key, made from it after the sort, so that a narrow key is sorted.
+    """
+    stored = (F.col(key) if stored is None else stored).alias(key)
+    row_stats(rows, key, text, config, once).select(stored, "n_terms", "n_postings").write.parquet(f"{path}/rows")
+    most = rows.sparkSession.read.schema("n_postings long").parquet(f"{path}/rows").agg(F.sum("n_postings")).first()[0] or 0
     found = postings(rows, key, text, config).withColumn("bucket", bucket(F.col("term")))
-    spread = found.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
-    spread.write.partitionBy("bucket").parquet(f"{path}/postings")
-    found.groupBy(key).agg(F.count_distinct("term").alias("n_terms")).write.parquet(f"{path}/rows")
+    spread = found.repartitionByRange(-(-most // SORTED_AT_ONCE) or 1, "bucket", "term", key).sortWithinPartitions("bucket", "term", key)
+    spread.select(stored, *(c for c in found.columns if c != key)).write.partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def load(spark: SparkSession, paths: list[str], key: str, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -538,8 +538,11 @@ class Engine:
             if index["fulltext"] and files and (names is None or name in names):
                 rows = self.catalog.read(t.name, files).withColumn("__file", F.col("_metadata.file_name"))
                 segment = f"fts/{uuid.uuid4().hex}"
-                key = F.struct(ROWID, "__file")
-                fts.build(rows.withColumn("key", key), "key", index["columns"][0], fts.FtsConfig.parse(index["options"]), f"{self.catalog.root}/{segment}")
+                names = [f.rsplit("/", 1)[-1] for f in files]
+                numbers = self.spark.createDataFrame(list(enumerate(names, 1)), "__number int, __file string")
+                rows = rows.join(F.broadcast(numbers), "__file").withColumn("key", F.struct(ROWID, "__number"))  # a row a data file
+                stored = F.struct(F.col(f"key.{ROWID}"), F.element_at(F.split(F.lit("/".join(names)), "/"), F.col("key.__number")).alias("__file"))
+                fts.build(rows, "key", index["columns"][0], fts.FtsConfig.parse(index["options"]), f"{self.catalog.root}/{segment}", once=True, stored=stored)
                 index["segments"].append(segment)
 
     def _index_parts(self, index: dict, terms: list[str] | None) -> tuple[DataFrame, DataFrame]:
