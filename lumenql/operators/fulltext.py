@@ -76,24 +76,43 @@ def _synonyms(word: Column, config: FtsConfig) -> Column:
     return F.coalesce(table[word], F.array().cast("array<string>"))
 
 
-def postings(rows: DataFrame, key: str, text: str, config: FtsConfig) -> DataFrame:
-    """key, term, level, weight, pos for every token occurrence of every level."""
+def _possible(word: Column, terms: list[str], config: FtsConfig, levels: list[int]) -> Column:
+    """Whether a posting of a word may be one of ``terms``; says no to most words before they are cut into pieces."""
+    sources = [k for k, v in config.synonyms.items() if set(v) & set(terms)]
+    out = word.isin(sorted({*terms, *sources})) if 1 in levels else F.lit(False)
+    for level, size in ((2, 2), (3, 1)):
+        for t in terms if level in levels else ():
+            if len(t) <= size:  # a shorter piece is a word's last
+                out = out | (F.contains(word, F.lit(t)) if len(t) == size else F.endswith(word, F.lit(t)))
+    return out
+
+
+def postings(rows: DataFrame, key: str, text: str, config: FtsConfig, terms: list[str] | None = None, level: int | None = None) -> DataFrame:
+    """key, term, level, weight, pos for every token occurrence of every level; with ``terms`` or ``level``, only for those, and others are not made."""
     each = rows.select(F.col(key), F.posexplode(words(F.col(text))).alias("pos", "word"))
-    if config.levels == (1,) and not config.synonyms:  # a word is its only posting
+    levels = [x for x in config.levels if level in (None, x)]
+    wanted = None if terms is None else sorted(set(terms))
+    if wanted is not None:
+        each = each.where(_possible(F.col("word"), wanted, config, levels))
+    if levels == [1] and not config.synonyms:  # a word is its only posting
         out = each.select(key, F.col("word").alias("term"), F.lit(1).alias("level"), F.lit(config.weights[1]).alias("weight"), "pos")
         return out if config.positions else out.withColumn("pos", F.lit(None).cast("int"))
     made = []
-    if 1 in config.levels:
+    if 1 in levels:
         made.append(F.array(F.struct(F.col("word").alias("term"), F.lit(1).alias("level"), F.lit(config.weights[1]).alias("weight"))))
         if config.synonyms:
             made.append(F.transform(_synonyms(F.col("word"), config), _tagged(1, 0.9 * config.weights[1])))
-    for level, size in ((2, 2), (3, 1)):
-        if level in config.levels:
+    for at, size in ((2, 2), (3, 1)):
+        if at in levels:
             parts = chunks(F.col("word"), size)
-            if level == 2:
+            if at == 2:
                 parts = F.filter(parts, lambda x: F.length(x) >= config.min_term)
-            made.append(F.transform(parts, _tagged(level, config.weights[level])))
+            if wanted is not None:
+                parts = F.filter(parts, lambda x: x.isin(wanted))
+            made.append(F.transform(parts, _tagged(at, config.weights[at])))
+    made = made or [F.array().cast("array<struct<term: string, level: int, weight: double>>")]
     out = each.select(key, "pos", F.explode(F.concat(*made)).alias("t")).select(key, "t.term", "t.level", "t.weight", "pos")
+    out = out if wanted is None else out.where(F.col("term").isin(wanted))
     return out if config.positions else out.withColumn("pos", F.lit(None).cast("int"))
 
 

@@ -13,8 +13,8 @@ _PIECES = r"SELECT doc_id, unnest(list_transform(range(0, CAST(ceil(length(term)
 CONFIG = fts.FtsConfig()
 
 
-def _index(spark: SparkSession, sf_dir: str, config: fts.FtsConfig = CONFIG) -> DataFrame:
-    return fts.postings(table(spark, sf_dir, "documents"), "doc_id", "text", config)
+def _index(spark: SparkSession, sf_dir: str, config: fts.FtsConfig = CONFIG, terms: list[str] | None = None, level: int | None = None) -> DataFrame:
+    return fts.postings(table(spark, sf_dir, "documents"), "doc_id", "text", config, terms, level)
 
 
 @query(rf"WITH t AS ({_TERMS}) SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(DISTINCT term) AS BIGINT) AS n_terms FROM t GROUP BY doc_id")
@@ -31,18 +31,20 @@ def fts_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH t AS ({_TERMS}) SELECT DISTINCT doc_id FROM t WHERE term = 'that'")
 def fts_match_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts.search(_index(spark, sf_dir), "doc_id", ["that"])
+    return fts.search(_index(spark, sf_dir, terms=["that"]), "doc_id", ["that"])
 
 
 @query(rf"WITH t AS ({_TERMS}) SELECT doc_id FROM t WHERE term IN ('that', 'with', 'from') GROUP BY doc_id HAVING count(DISTINCT term) = 3")
 def fts_match_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts.search(_index(spark, sf_dir), "doc_id", fts.query_terms("That WITH, from", CONFIG))
+    terms = fts.query_terms("That WITH, from", CONFIG)
+    return fts.search(_index(spark, sf_dir, terms=terms), "doc_id", terms)
 
 
 @query(rf"WITH t AS ({_TERMS}), p AS ({_PIECES}) SELECT doc_id FROM p WHERE term IN ('id', 'io', 't') GROUP BY doc_id HAVING count(DISTINCT term) = 3")
 def fts_match_level2(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = fts.FtsConfig(levels=(1, 2, 3))
-    return fts.search(_index(spark, sf_dir, config), "doc_id", fts.query_terms("idiot", config, 2), 2)
+    terms = fts.query_terms("idiot", config, 2)
+    return fts.search(_index(spark, sf_dir, config, terms, 2), "doc_id", terms, 2)
 
 
 @query(
@@ -52,9 +54,9 @@ def fts_match_level2(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY doc_id HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 10"""
 )
 def fts_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
-    stats = index.groupBy("doc_id").agg(F.count_distinct("term").alias("n_terms"))
-    found = fts.ranked(index, stats, "doc_id", fts.query_terms("that with that", CONFIG))
+    terms = fts.query_terms("that with that", CONFIG)
+    stats = fts.row_stats(table(spark, sf_dir, "documents"), "doc_id", "text", CONFIG)
+    found = fts.ranked(_index(spark, sf_dir, terms=terms), stats, "doc_id", terms)
     return found.select("doc_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
@@ -65,7 +67,7 @@ def fts_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH t AS ({_TERMS}), u AS (SELECT *, row_number() OVER (PARTITION BY doc_id) AS r FROM t) SELECT doc_id, CAST(count(*) AS BIGINT) AS times FROM u WHERE term = 'that' GROUP BY doc_id")
 def fts_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts.positions(_index(spark, sf_dir), "doc_id", "that").select("doc_id", F.size("positions").cast("long").alias("times"))
+    return fts.positions(_index(spark, sf_dir, terms=["that"]), "doc_id", "that").select("doc_id", F.size("positions").cast("long").alias("times"))
 
 
 @query("SELECT conv_id, turn, regexp_replace(text, '(?i)((?:the|of)+)', '<b>\\1</b>', 'g') AS marked FROM conversations")

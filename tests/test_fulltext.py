@@ -26,3 +26,15 @@ def test_a_sort_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
     per_task = index.groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).count().collect()
     assert sum(r[1] for r in per_task) == 1400 and len(per_task) > 10 and max(r[1] for r in per_task) < 300
     assert stats.count() == 200 and fts.search(index, "id", ["seven", "text"]).count() == 200
+
+
+@pytest.mark.parametrize("config", CONFIGS)
+def test_only_wanted_postings_are_made(spark, config):
+    rows = spark.createDataFrame(TEXTS, "k long, t string")
+    every = fts.postings(rows, "k", "t", config)
+    for terms in (["ab"], ["io", "x"], ["e", "te", "岩石", "k"], ["granite", "slate", "b"], ["schist"]):
+        for level in (None, 1, 2, 3):
+            want = every.where(F.col("term").isin(terms))
+            want = want.where(F.col("level") == level) if level else want
+            got = fts.postings(rows, "k", "t", config, terms, level)
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
